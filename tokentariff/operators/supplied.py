@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULT_RATES
 from ..functions import geometry as g
-from ..functions.pricing import PRICE_COLUMNS, Rates, token_cost, with_prices
+from ..functions.pricing import PRICE_COLUMNS, Rates, TokenPrices, token_cost, with_prices
 from ..sources.sessions import TOKEN_COLUMNS
 
 BLOCK = 65_536
@@ -27,75 +27,88 @@ def price_supplied_chunks(sessions: DataFrame, chunks: DataFrame, threshold: flo
     if peak_mode not in ("ramp", "heights"):
         raise ValueError("peak_mode must be 'ramp' or 'heights'")
     priced, prices = with_prices(sessions, rates)
-    price_columns = PRICE_COLUMNS if prices.per_row else ()
-    calls, read = F.col("api_call_count"), F.col("cache_read_tokens")
-    total, squares, ramp = F.col("height_sum"), F.col("height_squares"), F.col("ramp")
+    spread = _spread(chunks)
+    shaped = _shaped(priced, _outlines(spread), prices, peak_mode)
+    return _priced(_with_rereads(shaped, spread), prices, alpha * threshold, tolerance)
+
+
+def _spread(chunks: DataFrame) -> DataFrame:
+    """Pieces shuffled by session and by block of piece numbers, so that a session with a great
+    share of all pieces is many groups. Both uses of the pieces share this one shuffle; the null
+    checks are those the join would add to one use only."""
+    index = F.col("chunk_idx")
+    block = F.pmod(F.floor(index / BLOCK), F.lit(BLOCKS))
+    return (chunks.select("session_id", index, F.col("height").cast("double"),
+                          block.alias("block"))
+            .where(F.col("session_id").isNotNull() & F.col("block").isNotNull())
+            .repartition("session_id", "block"))
+
+
+def _outlines(spread: DataFrame) -> DataFrame:
+    """Per session: totals of its heights, its first piece, and the blocks its pieces are in."""
+    blocks = spread.groupBy("session_id", "block").agg(
+        F.count("*").alias("pieces"),
+        F.sum("height").alias("total"),
+        F.sum(F.col("height") * F.col("height")).alias("squares"),
+        F.min("chunk_idx").alias("first_idx"))
+    return blocks.groupBy("session_id").agg(
+        F.sum("pieces").alias("pieces"),
+        F.sum("total").alias("total"),
+        F.sum("squares").alias("squares"),
+        F.min("first_idx").alias("first_idx"),
+        F.collect_list("block").alias("blocks"))
 
-    # Spread on a block of piece numbers as well as the session: a session with a great share of
-    # all pieces is then many groups. The totals and the second read below share this shuffle.
-    spread = (chunks.select("session_id", "chunk_idx", F.col("height").cast("double"),
-                            F.pmod(F.floor(F.col("chunk_idx") / BLOCK), F.lit(BLOCKS))
-                            .alias("block"))
-              .repartition("session_id", "block"))
-    outlines = _outlines(spread)
 
+def _shaped(sessions: DataFrame, outlines: DataFrame, prices: TokenPrices,
+            peak_mode: str) -> DataFrame:
+    """Sessions with their outline and peak; ``splits`` marks those that can be priced so."""
+    calls, read, total = F.col("api_call_count"), F.col("cache_read_tokens"), F.col("total")
     possible = (calls > 0) & (total > 0)
     if peak_mode == "ramp":
         possible = possible & (read > 0)
-    peak = ramp if peak_mode == "ramp" else total
-    shaped = (
-        priced.select("session_id", *TOKEN_COLUMNS, *price_columns)
+    price_columns = PRICE_COLUMNS if prices.per_row else ()
+    return (
+        sessions.select("session_id", *TOKEN_COLUMNS, *price_columns)
         .join(outlines, "session_id", "left")
         .withColumn("ramp", g.ramp_peak(read, calls))
         .withColumn("splits", F.coalesce(possible, F.lit(False)))
-        .withColumn("peak", F.when(F.col("splits"), peak)))
+        .withColumn("peak", F.when(
+            F.col("splits"), F.col("ramp") if peak_mode == "ramp" else total)))
+
+
+def _with_rereads(shaped: DataFrame, spread: DataFrame) -> DataFrame:
+    """Add the calls that read a summary again, over all pieces but the first.
 
-    rereads = _rereads(spread, shaped.where("splits"))
-    stretched = squares * (F.col("peak") / total) * (F.col("peak") / total)
+    Needs the session's totals at each piece; they go to the blocks that hold its pieces, at
+    most ``BLOCKS`` rows per session, and come back with the sum.
+    """
+    calls = F.when(F.col("splits"), F.col("height") * F.col("api_call_count") / F.col("total"))
+    rereads = F.when(F.col("chunk_idx") > F.col("first_idx"), g.later_calls(calls))
+    carried = [c for c in shaped.columns if c not in ("session_id", "blocks")]
+    return (
+        shaped.withColumn("block", F.explode_outer(F.when(F.col("splits"), F.col("blocks"))))
+        .join(spread, ["session_id", "block"], "left")
+        .groupBy("session_id")
+        .agg(F.coalesce(F.sum(rereads), F.lit(0.0)).alias("rereads"),
+             *[F.first(c).alias(c) for c in carried]))
+
+
+def _priced(shaped: DataFrame, prices: TokenPrices, summary: float,
+            tolerance: float) -> DataFrame:
+    read, peak, total = F.col("cache_read_tokens"), F.col("peak"), F.col("total")
+    stretched = F.col("squares") * (peak / total) * (peak / total)
     new = F.when(F.col("splits"), F.col("pieces") - 1).otherwise(F.lit(0).cast("long"))
-    summary = alpha * threshold
     return (
-        shaped.join(rereads, "session_id", "left")
+        shaped
         .withColumn("cache_read_split", F.when(
-            F.col("splits"), calls / (2.0 * F.col("peak")) * stretched)
+            F.col("splits"), F.col("api_call_count") / (2.0 * peak) * stretched)
             .otherwise(read.cast("double")))
         .withColumn("oh_total", summary * (
             new * prices.generated + new * prices.cache_write
-            + F.coalesce("rereads", F.lit(0.0)) * prices.cache_read))
+            + F.col("rereads") * prices.cache_read))
         .withColumn("split_cost",
                     token_cost(prices, F.col("cache_read_split")) + F.col("oh_total"))
         .withColumn("saved", token_cost(prices, read) - F.col("split_cost"))
         .select("session_id", (new + 1).alias("n_chunks"), "peak", "cache_read_split",
                 "split_cost", "oh_total", "saved",
-                (F.abs(total - ramp) <= tolerance * ramp).alias("heights_ok")))
-
-
-def _outlines(spread: DataFrame) -> DataFrame:
-    """Per session: totals of its heights, its first piece, and the blocks its pieces are in."""
-    blocks = spread.groupBy("session_id", "block").agg(
-        F.count("*").alias("pieces"),
-        F.sum("height").alias("height_sum"),
-        F.sum(F.col("height") * F.col("height")).alias("height_squares"),
-        F.min("chunk_idx").alias("first_idx"))
-    return blocks.groupBy("session_id").agg(
-        F.sum("pieces").alias("pieces"),
-        F.sum("height_sum").alias("height_sum"),
-        F.sum("height_squares").alias("height_squares"),
-        F.min("first_idx").alias("first_idx"),
-        F.collect_list("block").alias("blocks"))
-
-
-def _rereads(spread: DataFrame, shaped: DataFrame) -> DataFrame:
-    """Per session: calls that read a summary again, over all pieces but the first.
-
-    Needs the session's totals at each piece; they go to the blocks that hold its pieces, at
-    most ``BLOCKS`` rows per session.
-    """
-    scales = shaped.select(
-        "session_id", "first_idx",
-        (F.col("api_call_count") / F.col("height_sum")).alias("calls_per_token"),
-        F.explode("blocks").alias("block"))
-    piece = g.later_calls(F.col("height") * F.col("calls_per_token"))
-    return (spread.join(scales, ["session_id", "block"])
-            .where(F.col("chunk_idx") > F.col("first_idx"))
-            .groupBy("session_id").agg(F.sum(piece).alias("rereads")))
+                (F.abs(total - F.col("ramp")) <= tolerance * F.col("ramp")).alias("heights_ok")))
