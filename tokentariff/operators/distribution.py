@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..defaults import PERCENTILES
 
-LOG_BINS = 16       # bins per power of two in the first pass
-LOG_OFFSET = 20_000  # more than LOG_BINS times the largest exponent of a double
-RANGE_BINS = 512    # bins per range in the passes after it
-EXACT_ROWS = 500_000  # a range with no more rows than this is resolved value by value
+LOG_BINS = 24        # bins per factor of e in the first pass
+LOG_OFFSET = 20_000  # more than LOG_BINS times the logarithm of any double
+RANGE_BINS = 512     # bins per range in the passes after it
+EXACT_ROWS = 50_000  # a range with no more rows than this is resolved value by value
 
 RESULT = ("threshold {kind}, n_chunks long, mean_cost double, {percentiles}, "
           "max_cost double, mean_calls double")
@@ -41,7 +41,7 @@ def chunk_distribution(chunks: DataFrame, percentiles: Iterable[float] = PERCENT
 
 def _log_bin(value: Column) -> Column:
     """Bin number that never falls as the value grows, over the whole range of doubles."""
-    size = F.floor(F.log2(F.abs(value)) * LOG_BINS) + LOG_OFFSET
+    size = F.floor(F.log(F.abs(value)) * LOG_BINS) + LOG_OFFSET
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
