@@ -20,11 +20,18 @@ def _sorted(names, rows):
     return [names[i] for i in order], sorted(table, key=repr)
 
 
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(frame, con, sql):
     """Differences between the two results, as a list of texts; empty when they are the same."""
     got_names, got = _sorted(frame.columns, frame.collect())
     result = con.execute(sql)
     want_names, want = _sorted([d[0] for d in result.description], result.fetchall())
+    got_types = {name: TYPES[kind] for name, kind in frame.dtypes}
+    want_types = {d[0]: str(d[1]) for d in result.description}
+    if got_types != want_types:
+        return [f"types {got_types} != {want_types}"]
     if got_names != want_names:
         return [f"columns {got_names} != {want_names}"]
     if len(got) != len(want):

@@ -34,8 +34,10 @@ def chunk_distribution(chunks: DataFrame, percentiles: Iterable[float] = PERCENT
     prices = chunks.select("threshold", "cost", "calls", weight.alias("weight"))
     found = {(row["threshold"], row["p"]): row for row in _first_pass(prices, percentiles)}
     while unsettled := [row for row in found.values() if row["lo"] < row["hi"]]:
-        for row in _next_pass(prices, unsettled):
-            found[row["threshold"], row["p"]] = row
+        narrowed = _next_pass(prices, unsettled)
+        if len(narrowed) < len(unsettled):
+            raise RuntimeError("the prices changed between passes; stage the sessions first")
+        found |= {(row["threshold"], row["p"]): row for row in narrowed}
     return _result(chunks, found, percentiles)
 
 

@@ -71,6 +71,7 @@ def split_grid(sessions: DataFrame, thresholds: Iterable | None = None,
     """Totals per threshold and alpha.
 
     Sessions are summed per threshold, a few partial rows per task; alphas multiply the result.
+    The few result rows are one partition, so the reports on them shuffle nothing more.
     """
     priced, prices = with_prices(sessions, rates)
     new = F.col("k") - 1
@@ -84,7 +85,8 @@ def split_grid(sessions: DataFrame, thresholds: Iterable | None = None,
              F.count_if(F.col("k") > 1).alias("n_split"),
              summed(new, prices.generated).alias("generated"),
              summed(new, prices.cache_write).alias("written"),
-             summed(F.col("rereads"), prices.cache_read).alias("reread")))
+             summed(F.col("rereads"), prices.cache_read).alias("reread"))
+        .coalesce(1))
     return (
         totals.withColumn("alpha", F.explode(g.literal_alphas(alphas)))
         .withColumns(_overheads(F.col("generated"), F.col("written"), F.col("reread")))

@@ -11,8 +11,8 @@ def order_sessions(spark: SparkSession, folder: str) -> DataFrame:
     lines = (spark.read.parquet(f"{folder}/lineitem.parquet")
              .groupBy(F.col("l_orderkey").alias("o_orderkey"))
              .agg(F.count("*").alias("n_lines"),
-                  F.sum(F.round("l_quantity").cast("long")).alias("qty"),
-                  F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents")))
+                  F.sum(_nearest(F.col("l_quantity"))).alias("qty"),
+                  F.sum(_nearest(F.col("l_extendedprice") * 100)).alias("cents")))
     orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey")
     key = F.col("o_orderkey")
     turns = 1 + (key % 11) * 3
@@ -75,6 +75,11 @@ def conversation_sessions(spark: SparkSession, folder: str) -> DataFrame:
                  F.count_if(reply).alias("api_call_count")))
 
 
+def _nearest(value: Column) -> Column:
+    """Nearest whole number of a positive value; ``round`` would go through decimals."""
+    return F.floor(value + 0.5)
+
+
 def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0).cast("long"))
 
