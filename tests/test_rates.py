@@ -53,6 +53,16 @@ def test_each_row_gets_its_own_rates(spark, monkeypatch, limit):
     assert [r["full_cost"] for r in got.collect()] == pytest.approx([1.0, 2.0, 4.75, 1.0])
 
 
+def test_any_session_column_can_be_the_key(spark, random_sessions):
+    frame, rows = random_sessions
+    rates = spark.createDataFrame([(3, 1.0, 2.0, 1.0, 1.0)], ["session_id", *tt.RateCard._fields])
+    got = {r["session_id"]: r for r in tt.session_cost(frame, rates).collect()}
+    assert got[3]["output_cost"] == pytest.approx(rows[3]["output_tokens"] * 2e-6)
+    assert got[4]["output_cost"] == pytest.approx(rows[4]["output_tokens"] * 23.75e-6)
+    with pytest.raises(ValueError):
+        tt.session_cost(frame, rates.withColumnRenamed("session_id", "model"))
+
+
 def test_repeated_key_is_refused(spark, random_sessions):
     rates = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0)] * 2, COLUMNS)
     with pytest.raises(ValueError):

@@ -67,3 +67,14 @@ def test_study(spark):
     cell = study.grid.where("threshold = 100000 AND alpha = 0.1").first()
     assert total["mean_cost"] * total["n_chunks"] == pytest.approx(cell["split_cost"])
     study.grid.unpersist()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tokentariff.__main__ import main
+    source = str(tmp_path / "sessions.parquet")
+    order_sessions(spark, f"{DATA}/sf0.001").write.parquet(source)
+    main([source, "--out", str(tmp_path / "out"), "--alphas", "0.05", "0.2"])
+    assert spark.read.parquet(str(tmp_path / "out" / "savings")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out" / "overhead")).count() == 2
+    main([source, "--thresholds", "100000", "--sweep", "100000", "120000"])
+    assert "saved_pct_a20" in capsys.readouterr().out

@@ -36,15 +36,19 @@ def prices_from(card) -> TokenPrices:
 PRICE_COLUMNS = tuple(f"price_{kind}" for kind in TokenPrices._fields)
 
 
-def with_prices(sessions: DataFrame, rates: Rates = DEFAULT_RATES, key: str = "agent"):
+def with_prices(sessions: DataFrame, rates: Rates = DEFAULT_RATES):
     """Return ``(sessions, TokenPrices)``.
 
     One rate card gives plain numbers and leaves the frame alone. A table of rates, with the
-    ``RateCard`` columns and a unique ``key``, gives price columns on every row; rows whose key
-    is not in the table get the default rates.
+    ``RateCard`` columns and one key column that sessions have too, gives price columns on every
+    row; rows whose key is not in the table get the default rates.
     """
     if not isinstance(rates, DataFrame):
         return sessions, prices_from(RateCard(*rates))
+    keys = [c for c in rates.columns if c not in RateCard._fields]
+    if len(keys) != 1 or keys[0] not in sessions.columns:
+        raise ValueError("a rates table needs one key column, and sessions need it too")
+    key = keys[0]
     prices = prices_from([F.col(name) for name in RateCard._fields])
     table = rates.select(
         F.col(key), *[p.cast("double").alias(n) for n, p in zip(PRICE_COLUMNS, prices)])
