@@ -22,14 +22,15 @@ def price_supplied_chunks(sessions: DataFrame, chunks: DataFrame, threshold: flo
     to it; ``'heights'`` takes the sum of the heights as the peak. ``heights_ok`` says whether
     the heights as given add up to the ramp peak, within a relative tolerance; it is null where
     there are no heights or no ramp. Sessions that cannot be split so are billed as they were.
-    ``threshold`` and ``alpha`` only set the size of the summary.
+    ``threshold`` and ``alpha`` only set the size of the summary. Session ids are unique, and
+    piece numbers are unique in a session; the smallest is its first piece.
     """
     if peak_mode not in ("ramp", "heights"):
         raise ValueError("peak_mode must be 'ramp' or 'heights'")
     priced, prices = with_prices(sessions, rates)
     spread = _spread(chunks)
-    shaped = _shaped(priced, _outlines(spread), prices, peak_mode)
-    return _priced(_with_rereads(shaped, spread), prices, alpha * threshold, tolerance)
+    outlined = _outlined(priced, _outlines(spread), prices, peak_mode, tolerance)
+    return _with_overhead(outlined, spread, prices, alpha * threshold)
 
 
 def _spread(chunks: DataFrame) -> DataFrame:
@@ -59,56 +60,58 @@ def _outlines(spread: DataFrame) -> DataFrame:
         F.collect_list("block").alias("blocks"))
 
 
-def _shaped(sessions: DataFrame, outlines: DataFrame, prices: TokenPrices,
-            peak_mode: str) -> DataFrame:
-    """Sessions with their outline and peak; ``splits`` marks those that can be priced so."""
-    calls, read, total = F.col("api_call_count"), F.col("cache_read_tokens"), F.col("total")
+def _outlined(sessions: DataFrame, outlines: DataFrame, prices: TokenPrices, peak_mode: str,
+              tolerance: float) -> DataFrame:
+    """Sessions priced from their outline, in all but the summaries. ``blocks`` is null for
+    sessions that cannot be priced so."""
+    calls, read = F.col("api_call_count"), F.col("cache_read_tokens")
+    total, ramp, peak, splits = F.col("total"), F.col("ramp"), F.col("peak"), F.col("splits")
     possible = (calls > 0) & (total > 0)
     if peak_mode == "ramp":
         possible = possible & (read > 0)
+    stretched = F.col("squares") * (peak / total) * (peak / total)
     price_columns = PRICE_COLUMNS if prices.per_row else ()
     return (
         sessions.select("session_id", *TOKEN_COLUMNS, *price_columns)
         .join(outlines, "session_id", "left")
         .withColumn("ramp", g.ramp_peak(read, calls))
         .withColumn("splits", F.coalesce(possible, F.lit(False)))
-        .withColumn("peak", F.when(
-            F.col("splits"), F.col("ramp") if peak_mode == "ramp" else total)))
-
-
-def _with_rereads(shaped: DataFrame, spread: DataFrame) -> DataFrame:
-    """Add the calls that read a summary again, over all pieces but the first.
-
-    Needs the session's totals at each piece; they go to the blocks that hold its pieces, at
-    most ``BLOCKS`` rows per session, and come back with the sum.
+        .withColumn("peak", F.when(splits, ramp if peak_mode == "ramp" else total))
+        .withColumn("cache_read_split", F.when(splits, calls / (2.0 * peak) * stretched)
+                    .otherwise(read.cast("double")))
+        .select("session_id", *price_columns, "peak", "cache_read_split",
+                F.when(splits, F.col("pieces")).otherwise(F.lit(1).cast("long"))
+                .alias("n_chunks"),
+                token_cost(prices, F.col("cache_read_split")).alias("base"),
+                token_cost(prices, read).alias("full_cost"),
+                (F.abs(total - ramp) <= tolerance * ramp).alias("heights_ok"),
+                F.when(splits, calls / total).alias("calls_per_token"),
+                F.when(splits, F.col("first_idx")).alias("first_idx"),
+                F.when(splits, F.col("blocks")).alias("blocks")))
+
+
+def _with_overhead(outlined: DataFrame, spread: DataFrame, prices: TokenPrices,
+                   summary: float) -> DataFrame:
+    """Add the cost of the summaries.
+
+    The calls that read one again need the session's totals at each piece. They go to the blocks
+    that hold its pieces, at most ``BLOCKS`` rows per session, and come back with the sum.
     """
-    calls = F.when(F.col("splits"), F.col("height") * F.col("api_call_count") / F.col("total"))
-    rereads = F.when(F.col("chunk_idx") > F.col("first_idx"), g.later_calls(calls))
-    carried = [c for c in shaped.columns if c not in ("session_id", "blocks")]
+    calls = g.later_calls(F.col("height") * F.col("calls_per_token"))
+    rereads = F.sum(F.when(F.col("chunk_idx") > F.col("first_idx"), calls))
+    carried = [c for c in outlined.columns
+               if c not in ("session_id", "calls_per_token", "first_idx", "blocks")]
+    new = F.col("n_chunks") - 1
     return (
-        shaped.withColumn("block", F.explode_outer(F.when(F.col("splits"), F.col("blocks"))))
+        outlined.withColumn("block", F.explode_outer("blocks")).drop("blocks")
         .join(spread, ["session_id", "block"], "left")
         .groupBy("session_id")
-        .agg(F.coalesce(F.sum(rereads), F.lit(0.0)).alias("rereads"),
-             *[F.first(c).alias(c) for c in carried]))
-
-
-def _priced(shaped: DataFrame, prices: TokenPrices, summary: float,
-            tolerance: float) -> DataFrame:
-    read, peak, total = F.col("cache_read_tokens"), F.col("peak"), F.col("total")
-    stretched = F.col("squares") * (peak / total) * (peak / total)
-    new = F.when(F.col("splits"), F.col("pieces") - 1).otherwise(F.lit(0).cast("long"))
-    return (
-        shaped
-        .withColumn("cache_read_split", F.when(
-            F.col("splits"), F.col("api_call_count") / (2.0 * peak) * stretched)
-            .otherwise(read.cast("double")))
+        .agg(F.coalesce(rereads, F.lit(0.0)).alias("rereads"),
+             *[F.first(c).alias(c) for c in carried])
         .withColumn("oh_total", summary * (
             new * prices.generated + new * prices.cache_write
             + F.col("rereads") * prices.cache_read))
-        .withColumn("split_cost",
-                    token_cost(prices, F.col("cache_read_split")) + F.col("oh_total"))
-        .withColumn("saved", token_cost(prices, read) - F.col("split_cost"))
-        .select("session_id", (new + 1).alias("n_chunks"), "peak", "cache_read_split",
-                "split_cost", "oh_total", "saved",
-                (F.abs(total - F.col("ramp")) <= tolerance * F.col("ramp")).alias("heights_ok")))
+        .withColumn("split_cost", F.col("base") + F.col("oh_total"))
+        .withColumn("saved", F.col("full_cost") - F.col("split_cost"))
+        .select("session_id", "n_chunks", "peak", "cache_read_split", "split_cost", "oh_total",
+                "saved", "heights_ok"))
