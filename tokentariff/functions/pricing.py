@@ -77,10 +77,7 @@ def _join_rates(sessions: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def token_cost(prices: TokenPrices, cache_read: Column) -> Column:
     """Dollars for a session's own tokens, with the given number of cache-read tokens."""
-    return (F.col("input_tokens") * prices.fresh
-            + F.col("output_tokens") * prices.generated
-            + F.col("cache_creation_tokens") * prices.cache_write
-            + cache_read * prices.cache_read)
+    return work_cost(prices) + cache_read * prices.cache_read
 
 
 def work_cost(prices: TokenPrices) -> Column:
@@ -90,6 +87,24 @@ def work_cost(prices: TokenPrices) -> Column:
             + F.col("cache_creation_tokens") * prices.cache_write)
 
 
+class SummaryDollars(NamedTuple):
+    """What each token of the carried summaries costs; times the summary size, the overhead."""
+
+    generated: Column
+    written: Column
+    reread: Column
+
+    @property
+    def total(self) -> Column:
+        return self.generated + self.written + self.reread
+
+
+def summary_dollars(prices: TokenPrices, new_pieces, rereads: Column) -> SummaryDollars:
+    """A summary is generated and cached for every new piece, and read again by later calls."""
+    return SummaryDollars(new_pieces * prices.generated, new_pieces * prices.cache_write,
+                          rereads * prices.cache_read)
+
+
 def summed(quantity: Column, price: Price) -> Column:
     """Total of quantity times price; a constant price is applied once, after the sum."""
     if isinstance(price, Column):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULT_RATES, REPORT_ALPHA
 from ..functions import geometry as g
-from ..functions.pricing import (PRICE_COLUMNS, Rates, TokenPrices, token_cost, with_prices,
-                                 work_cost)
+from ..functions.pricing import (PRICE_COLUMNS, Rates, TokenPrices, summary_dollars, token_cost,
+                                 with_prices, work_cost)
 from ..sources.sessions import TOKEN_COLUMNS
 
 FIRST, MIDDLE, LAST = 0, 1, 2
@@ -65,8 +65,7 @@ def _piece_cost(prices: TokenPrices, summary: Column) -> Column:
     unless it is the first, the summary it starts with."""
     share = F.col("calls") / F.col("api_call_count")
     triangle = F.col("calls") * F.col("height") / 2.0
-    carried = summary * (prices.generated + prices.cache_write
-                         + g.later_calls(F.col("calls")) * prices.cache_read)
+    carried = summary * summary_dollars(prices, F.lit(1), g.later_calls(F.col("calls"))).total
     return (work_cost(prices) * share + triangle * prices.cache_read
             + F.when(F.col("slot") == FIRST, 0.0).otherwise(carried))
 

@@ -6,12 +6,13 @@ depends on the threshold only, and alpha is brought in last.
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import ALPHAS, DEFAULT_RATES, SWEEP, THRESHOLDS
 from ..functions import geometry as g
-from ..functions.pricing import PRICE_COLUMNS, Rates, TokenPrices, summed, token_cost, with_prices
+from ..functions.pricing import (PRICE_COLUMNS, Rates, SummaryDollars, TokenPrices,
+                                 summary_dollars, summed, token_cost, with_prices)
 from ..sources.sessions import TOKEN_COLUMNS
 
 
@@ -42,24 +43,21 @@ def _cut(sessions: DataFrame, prices: TokenPrices, thresholds: Iterable, *ids: s
             split, g.summary_rereads(peak, pieces, last, threshold, calls)).otherwise(0.0)))
 
 
-def _overheads(generated: Column, written: Column, reread: Column) -> dict:
-    """Overhead columns, given the dollars that one summary token would add to each part."""
+def _overheads(dollars: SummaryDollars) -> dict:
     summary = F.col("alpha") * F.col("threshold")
-    parts = {"oh_gen": summary * generated, "oh_write": summary * written,
-             "oh_reread": summary * reread}
-    return {**parts, "oh_total": parts["oh_gen"] + parts["oh_write"] + parts["oh_reread"]}
+    parts = SummaryDollars(*[summary * part for part in dollars])
+    return {"oh_gen": parts.generated, "oh_write": parts.written, "oh_reread": parts.reread,
+            "oh_total": parts.total}
 
 
 def session_split(sessions: DataFrame, thresholds: Iterable | None = None,
                   alphas: Iterable = ALPHAS, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """One row per session, threshold and alpha. No shuffle."""
     priced, prices = with_prices(sessions, rates)
-    new = F.col("k") - 1
     return (
         _cut(priced, prices, thresholds or all_thresholds(), "session_id")
         .withColumn("alpha", F.explode(g.literal_alphas(alphas)))
-        .withColumns(_overheads(new * prices.generated, new * prices.cache_write,
-                                F.col("rereads") * prices.cache_read))
+        .withColumns(_overheads(summary_dollars(prices, F.col("k") - 1, F.col("rereads"))))
         .withColumn("split_cost", F.col("base") + F.col("oh_total"))
         .withColumn("saved", F.col("full_cost") - F.col("split_cost"))
         .select("session_id", "threshold", "alpha", "peak", "k", "split_cost", "saved",
@@ -89,7 +87,7 @@ def split_grid(sessions: DataFrame, thresholds: Iterable | None = None,
         .coalesce(1))
     return (
         totals.withColumn("alpha", F.explode(g.literal_alphas(alphas)))
-        .withColumns(_overheads(F.col("generated"), F.col("written"), F.col("reread")))
+        .withColumns(_overheads(SummaryDollars(*map(F.col, SummaryDollars._fields))))
         .withColumn("split_cost", F.col("base") + F.col("oh_total"))
         .withColumn("saved", F.col("full_cost") - F.col("split_cost"))
         .select("threshold", "alpha", "n_sessions", "full_cost", "split_cost", "saved",

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..defaults import DEFAULT_RATES
 from ..functions import geometry as g
-from ..functions.pricing import PRICE_COLUMNS, Rates, TokenPrices, token_cost, with_prices
+from ..functions.pricing import (PRICE_COLUMNS, Rates, TokenPrices, summary_dollars, token_cost,
+                                 with_prices)
 from ..sources.sessions import TOKEN_COLUMNS
 
 BLOCK = 65_536
@@ -108,9 +109,8 @@ def _with_overhead(outlined: DataFrame, spread: DataFrame, prices: TokenPrices,
         .groupBy("session_id")
         .agg(F.coalesce(rereads, F.lit(0.0)).alias("rereads"),
              *[F.first(c).alias(c) for c in carried])
-        .withColumn("oh_total", summary * (
-            new * prices.generated + new * prices.cache_write
-            + F.col("rereads") * prices.cache_read))
+        .withColumn("oh_total",
+                    summary * summary_dollars(prices, new, F.col("rereads")).total)
         .withColumn("split_cost", F.col("base") + F.col("oh_total"))
         .withColumn("saved", F.col("full_cost") - F.col("split_cost"))
         .select("session_id", "n_chunks", "peak", "cache_read_split", "split_cost", "oh_total",
