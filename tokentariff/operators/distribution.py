@@ -80,8 +80,10 @@ def _next_pass(prices: DataFrame, unsettled: list) -> list:
     part = (cost - lo) / (hi - lo) * RANGE_BINS
     linear = F.least(F.floor(part), F.lit(RANGE_BINS - 1).cast("long")).cast("double")
     keys = ["threshold", "p", "rank", "n", "cost_total", "calls_total", "max_cost"]
+    # A null-safe test keeps the optimizer from pushing a null check of the cost below the cost's
+    # own computation, where it would be computed a second time.
     inside = (prices.join(F.broadcast(ranges), "threshold")
-              .where((cost >= lo) & (cost <= hi))
+              .where(((cost >= lo) & (cost <= hi)).eqNullSafe(True))
               .withColumn("bin", F.when(F.col("range_rows") <= EXACT_ROWS, cost)
                           .otherwise(linear)))
     bins = inside.groupBy(*keys, "bin").agg(*_bin_totals())
