@@ -134,3 +134,5 @@ def test_threshold_equal_to_peak_stays_whole_and_bad_thresholds_are_refused(make
     for bad in ([0], [-5], []):
         with pytest.raises(ValueError):
             tt.chunk_prices(frame, bad, 0.1)
+        with pytest.raises(ValueError):
+            tt.split_grid(frame, bad)

@@ -16,9 +16,9 @@ from ..functions.pricing import (PRICE_COLUMNS, Rates, SummaryDollars, TokenPric
 from ..sources.sessions import TOKEN_COLUMNS
 
 
-def all_thresholds(thresholds: Iterable = THRESHOLDS, sweep: Iterable = SWEEP) -> list:
+def all_thresholds(thresholds: Iterable = THRESHOLDS, sweep: Iterable = SWEEP) -> tuple:
     """Thresholds that the reports need together."""
-    return sorted(set(thresholds) | set(sweep))
+    return tuple(sorted(set(thresholds) | set(sweep)))
 
 
 def _cut(sessions: DataFrame, prices: TokenPrices, thresholds: Iterable, *ids: str) -> DataFrame:
@@ -50,12 +50,12 @@ def _overheads(dollars: SummaryDollars) -> dict:
             "oh_total": parts.total}
 
 
-def session_split(sessions: DataFrame, thresholds: Iterable | None = None,
+def session_split(sessions: DataFrame, thresholds: Iterable = all_thresholds(),
                   alphas: Iterable = ALPHAS, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """One row per session, threshold and alpha. No shuffle."""
     priced, prices = with_prices(sessions, rates)
     return (
-        _cut(priced, prices, thresholds or all_thresholds(), "session_id")
+        _cut(priced, prices, thresholds, "session_id")
         .withColumn("alpha", F.explode(g.literal_alphas(alphas)))
         .withColumns(_overheads(summary_dollars(prices, F.col("k") - 1, F.col("rereads"))))
         .withColumn("split_cost", F.col("base") + F.col("oh_total"))
@@ -64,7 +64,7 @@ def session_split(sessions: DataFrame, thresholds: Iterable | None = None,
                 "oh_total", "oh_gen", "oh_write", "oh_reread"))
 
 
-def split_grid(sessions: DataFrame, thresholds: Iterable | None = None,
+def split_grid(sessions: DataFrame, thresholds: Iterable = all_thresholds(),
                alphas: Iterable = ALPHAS, rates: Rates = DEFAULT_RATES) -> DataFrame:
     """Totals per threshold and alpha.
 
@@ -74,7 +74,7 @@ def split_grid(sessions: DataFrame, thresholds: Iterable | None = None,
     priced, prices = with_prices(sessions, rates)
     new = F.col("k") - 1
     totals = (
-        _cut(priced, prices, thresholds or all_thresholds())
+        _cut(priced, prices, thresholds)
         .groupBy("threshold")
         .agg(F.count("*").alias("n_sessions"),
              F.sum("full_cost").alias("full_cost"),

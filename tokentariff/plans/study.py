@@ -26,8 +26,12 @@ class Study(NamedTuple):
 def run_study(sessions: DataFrame, thresholds: Iterable = THRESHOLDS, sweep: Iterable = SWEEP,
               alphas: Iterable = ALPHAS, rates: Rates = DEFAULT_RATES,
               report_alpha: float = REPORT_ALPHA) -> Study:
-    """All reports. The grid, a row per threshold and alpha, is kept for those drawn from it;
-    call ``grid.unpersist()`` when done."""
+    """All reports.
+
+    The grid, a row per threshold and alpha, is kept for those drawn from it; call
+    ``grid.unpersist()`` when done. Sessions are read for the baseline, for the grid and in each
+    pass of the distribution: give a plain table, or a ``staged`` one if they are costly to derive.
+    """
     alphas = list(alphas)
     grid_alphas = sorted({*alphas, report_alpha})
     grid = split_grid(sessions, all_thresholds(thresholds, sweep), grid_alphas, rates).persist()
