@@ -7,12 +7,16 @@ from tests.conftest import DATA
 from tests.oracle import compare, connect
 
 
+# Queries of the training-data operators are tested beside them.
+NAMES = [name for name in entry.queries() if not name.startswith("op") and name != "pipeline"]
+
+
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert set(NAMES) <= entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("scale", ["0.001", "0.01"])
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name, scale):
     folder = f"{DATA}/sf{scale}"
     con = connect(folder)
