@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tokentariff as tt
+from tokentariff.sources import kept
 from tokentariff.sources.samples import (conversation_pieces, conversation_sessions,
-                                         order_sessions)
+                                         conversation_turns, order_sessions)
 
 SUPPLIED_THRESHOLD, SUPPLIED_ALPHA = 400, 0.10
+NUDGE = 3.1e-11
+PARTS = ("oh_gen", "oh_write", "oh_reread")
 DOLLARS = ("split_cost", "oh_total", "saved")
 AGENT_RATES = [("Claude Code", 4.7513, 23.7531, 1.2507, 0.1003),
                ("claude-code", 3.1019, 15.3717, 1.2011, 0.0803)]
+# One agent has a null field, the other is missing: both take defaults.
+PARTIAL_RATES = [("claude-code", 3.1019, 15.3717, None, 0.0803)]
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -37,27 +42,66 @@ def _rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AGENT_RATES, ["agent", *tt.RateCard._fields])
 
 
-def _rounded(frame: DataFrame, digits: int = 4, keep: tuple = ()) -> DataFrame:
+def _rounded(frame: DataFrame, digits: int = 4, keep: tuple = (), nudge: float = 0.0) -> DataFrame:
     return frame.select(*[
-        F.round(name, digits).alias(name) if kind == "double" and name not in keep else name
+        F.round(F.col(name) + nudge, digits).alias(name)
+        if kind == "double" and name not in keep else name
         for name, kind in frame.dtypes])
 
 
+def _nine(frame: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Nine digits. Prices are short decimals, so many results lie between two roundings; the nudge
+    moves them off that point, where the last bit of a sum would decide."""
+    return _rounded(frame, 9, keep, NUDGE)
+
+
+def _partial_rates(spark: SparkSession) -> DataFrame:
+    kinds = ", ".join(f"{name} double" for name in tt.RateCard._fields)
+    return spark.createDataFrame(PARTIAL_RATES, f"agent string, {kinds}")
+
+
+def _conversations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions and their pieces. Texts are read once, for the pieces that are kept."""
+    pieces = kept(conversation_pieces(conversation_turns(spark, folder)))
+    return conversation_sessions(pieces), pieces.select("session_id", "chunk_idx", "height")
+
+
 def _supplied(mode: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark, folder):
         tokens = ("peak", "cache_read_split")
         priced = tt.price_supplied_chunks(
-            conversation_sessions(spark, folder), conversation_pieces(spark, folder),
-            SUPPLIED_THRESHOLD, SUPPLIED_ALPHA, peak_mode=mode)
-        return _rounded(_rounded(priced, 12, keep=tokens), 6, keep=DOLLARS)
+            *_conversations(spark, folder), SUPPLIED_THRESHOLD, SUPPLIED_ALPHA, peak_mode=mode)
+        return _rounded(_rounded(priced.drop(*PARTS), 12, keep=tokens), 6, keep=DOLLARS)
     return query
 
 
+def _supplied_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return tt.supplied_piece_prices(
+        *_conversations(spark, folder), SUPPLIED_THRESHOLD, SUPPLIED_ALPHA)
+
+
+def _supplied_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return _nine(tt.chunk_distribution(kept(_supplied_pieces(spark, folder))))
+
+
+def _supplied_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Several thresholds and alphas from one pass over the pieces."""
+    return _nine(tt.price_supplied_chunks(
+        *_conversations(spark, folder), [200, 400], [0.05, 0.10])).drop("heights_ok")
+
+
+def _rates_supplied(spark: SparkSession, folder: str) -> DataFrame:
+    sessions = _sessions(spark, folder)
+    pieces = tt.chunk_prices(sessions, 100_000).select("session_id", "chunk_idx", "height")
+    priced = tt.price_supplied_chunks(sessions, pieces, 100_000, 0.10, _partial_rates(spark))
+    return _rounded(priced)
+
+
 def _supplied_uniform(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of a uniform cut, given as a table: the same prices as the cut itself."""
     sessions = _sessions(spark, folder)
     pieces = tt.chunk_prices(sessions, 100_000).select("session_id", "chunk_idx", "height")
-    return _rounded(tt.price_supplied_chunks(sessions, pieces, 100_000, 0.10))
+    return _rounded(tt.price_supplied_chunks(sessions, pieces, 100_000, 0.10).drop(*PARTS))
 
 
 def _distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +132,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "session_cost": lambda s, f: tt.session_cost(_sessions(s, f)),
         "corpus_baseline": lambda s, f: _rounded(
             tt.corpus_baseline(tt.session_cost(_sessions(s, f)))),
-        "session_split": lambda s, f: tt.session_split(_sessions(s, f)),
+        "session_split": lambda s, f: _nine(
+            tt.session_split(_sessions(s, f)), keep=("peak",)),
         "split_grid": lambda s, f: _rounded(_grid(s, f), keep=deterministic),
         "savings_table": lambda s, f: _rounded(tt.savings_table(_grid(s, f))),
         "overhead_breakdown": lambda s, f: _rounded(
@@ -102,6 +147,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "supplied_chunks_ramp": _supplied("ramp"),
         "supplied_chunks_heights": _supplied("heights"),
         "supplied_chunks_uniform": _supplied_uniform,
+        "supplied_piece_prices": lambda s, f: _nine(_supplied_pieces(s, f)),
+        "supplied_distribution": _supplied_distribution,
+        "supplied_chunks_parts": _supplied_parts,
+        "rates_by_agent_session_split": lambda s, f: _nine(
+            tt.session_split(_sessions(s, f), rates=_partial_rates(s)), keep=("peak",)),
+        "rates_by_agent_chunk_prices": lambda s, f: _nine(
+            tt.chunk_prices(_sessions(s, f), 100_000, rates=_partial_rates(s))),
+        "rates_by_agent_supplied": _rates_supplied,
         "rates_by_agent_session_cost": lambda s, f: tt.session_cost(_sessions(s, f), _rates(s)),
         "rates_by_agent_split_grid": lambda s, f: _rounded(
             tt.split_grid(_sessions(s, f), rates=_rates(s))),
@@ -161,6 +214,11 @@ BY_AGENT = PRICES.format(
     wf="CASE agent WHEN 'Claude Code' THEN 1.2507e0 ELSE 1.2011e0 END",
     rf="CASE agent WHEN 'Claude Code' THEN 0.1003e0 ELSE 0.0803e0 END")
 
+PARTIAL_BY_AGENT = PRICES.format(
+    usd_in="CASE agent WHEN 'claude-code' THEN 3.1019e0 ELSE 4.75e0 END",
+    usd_out="CASE agent WHEN 'claude-code' THEN 15.3717e0 ELSE 23.75e0 END",
+    wf="1.25e0", rf="CASE agent WHEN 'claude-code' THEN 0.0803e0 ELSE 0.1e0 END")
+
 # A row per session and threshold, with the shape of its cut.
 SHAPES = """
 scenarios AS (
@@ -175,21 +233,21 @@ ALL_T = "100000, 110000, 120000, 130000, 140000, 150000"
 DETAIL_T = "100000, 150000"
 ALPHAS = "(SELECT UNNEST([0.05e0, 0.1e0, 0.15e0, 0.2e0]) AS alpha)"
 
-# A row per session, threshold and alpha, from the closed forms.
+# A row per session, threshold and alpha, summed from the single pieces of the cut.
 SPLITS = """
-measured AS (
-  SELECT *, peak - (k - 1) * CAST(threshold AS DOUBLE) AS last FROM counted),
+single AS (
+  SELECT session_id, threshold, height * api_call_count / peak AS m, height, idx
+  FROM (SELECT *, CASE WHEN idx < k - 1 THEN threshold
+                       ELSE peak - (k - 1) * CAST(threshold AS DOUBLE) END AS height
+        FROM (SELECT *, UNNEST(RANGE(k)) AS idx FROM counted WHERE k > 1))),
+cut_sums AS (
+  SELECT session_id, threshold, SUM(m * height / 2e0) AS read_pieces,
+         SUM(CASE WHEN idx > 0 AND m > 1 THEN m - 1 ELSE 0e0 END) AS again
+  FROM single GROUP BY session_id, threshold),
 shaped AS (
-  SELECT *,
-         CASE WHEN k > 1
-              THEN api_call_count / (2e0 * peak)
-                   * ((k - 1) * CAST(threshold AS DOUBLE) * threshold + last * last)
-              ELSE cache_read_tokens END AS read_after,
-         CASE WHEN k > 1
-              THEN (k - 2) * GREATEST(threshold * CAST(api_call_count AS DOUBLE) / peak - 1e0, 0e0)
-                   + GREATEST(last * api_call_count / peak - 1e0, 0e0)
-              ELSE 0e0 END AS rereads
-  FROM measured),
+  SELECT c.*, COALESCE(read_pieces, c.cache_read_tokens) AS read_after,
+         COALESCE(again, 0e0) AS rereads
+  FROM counted c LEFT JOIN cut_sums USING (session_id, threshold)),
 parts AS (
   SELECT *, input_cost + output_cost + cache_write_cost + read_after * p_read AS base,
          alpha * threshold * ((k - 1) * p_gen) AS oh_gen,
@@ -261,13 +319,20 @@ PIECE_COST = """
             + CASE WHEN idx = 0 THEN 0e0
                    ELSE 0.1e0 * threshold
                         * (p_gen + p_write + GREATEST(calls - 1e0, 0e0) * p_read) END END"""
-PIECE_ROWS = ",".join([
-    "WITH" + ORDER_SESSIONS, ONE_RATE, SHAPES.format(thresholds=DETAIL_T), PIECES + """,
+PIECE_CHUNKS = """
 chunks AS (
   SELECT session_id, threshold, idx AS chunk_idx, height, k,
          CASE WHEN k = 1 THEN CAST(api_call_count AS DOUBLE) ELSE calls END AS calls,
          """ + PIECE_COST + """ AS cost, idx = 0 AS is_first
-  FROM pieces)"""])
+  FROM pieces)"""
+PIECE_ROWS = ",".join(["WITH" + ORDER_SESSIONS, ONE_RATE, SHAPES.format(thresholds=DETAIL_T),
+                       PIECES, PIECE_CHUNKS])
+SESSION_SPLIT = """
+SELECT session_id, threshold, alpha, peak, k,
+       ROUND(split_cost + 3.1e-11, 9) AS split_cost, ROUND(saved + 3.1e-11, 9) AS saved,
+       ROUND(oh_total + 3.1e-11, 9) AS oh_total, ROUND(oh_gen + 3.1e-11, 9) AS oh_gen,
+       ROUND(oh_write + 3.1e-11, 9) AS oh_write, ROUND(oh_reread + 3.1e-11, 9) AS oh_reread
+FROM splits"""
 
 TURNS = """
 WITH turns AS (
@@ -319,7 +384,31 @@ SELECT session_id, n_chunks, ROUND(peak, 6) AS peak, ROUND(read_after, 6) AS cac
 FROM dollars"""
 
 
+# Every supplied piece with its own price, under ramp peaks.
+SUPPLIED_PIECES = TURNS.split("sized AS")[0].rstrip().rstrip(",") + """,
+joined AS (
+  SELECT s.*, h.idx, h.height AS given, h.total, h.place,
+         2e0 * cr / NULLIF(n, 0) AS peak, n > 0 AND cr > 0 AND total > 0 AS splits,
+         (it * 4.75e0 + ot * 23.75e0 + cw * 5.9375e0) / 1e6 AS work,
+         (it * 4.75e0 + ot * 23.75e0 + cw * 5.9375e0 + cr * 0.475e0) / 1e6 AS fc
+  FROM s LEFT JOIN h USING (session_id)),
+shares AS (
+  SELECT session_id, idx, place = 1 AS is_first, given * peak / total AS height,
+         given * n / total AS calls, work, n, fc, cr, peak, splits FROM joined WHERE splits
+  UNION ALL
+  SELECT DISTINCT session_id, 0, TRUE, CASE WHEN n > 0 AND cr > 0 THEN peak END, n, work, n, fc, cr,
+         peak, FALSE FROM joined WHERE NOT COALESCE(splits, FALSE)),
+owned AS (
+  SELECT *, CASE WHEN splits THEN work * calls / n + calls * height / 2e0 * 0.475e0 / 1e6
+                 ELSE fc END AS own FROM shares),
+piece_costs AS (
+  SELECT *, own + CASE WHEN is_first THEN 0e0
+                       ELSE 40e0 * (23.75e0 + 5.9375e0 + GREATEST(calls - 1, 0) * 0.475e0) / 1e6
+                  END AS cost FROM owned)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    partial = ",".join(["WITH" + ORDER_SESSIONS, PARTIAL_BY_AGENT])
     costed = ",".join(["WITH" + ORDER_SESSIONS, ONE_RATE])
     costed_by_agent = ",".join(["WITH" + ORDER_SESSIONS, BY_AGENT])
     session_cost = """
@@ -337,10 +426,55 @@ SELECT COUNT(*) AS n_sessions, ROUND(SUM(full_cost), 4) AS full_cost,
        ROUND(SUM(cache_read_cost) / COUNT(*), 4) AS cache_read_per_session,
        ROUND(100 * SUM(cache_read_cost) / SUM(full_cost), 4) AS cache_read_pct
 FROM costed""",
-        "session_split": ",".join([costed, SHAPES.format(thresholds=ALL_T), SPLITS]) + """
-SELECT session_id, threshold, alpha, peak, k, split_cost, saved, oh_total, oh_gen, oh_write,
-       oh_reread
-FROM splits""",
+        "session_split": ",".join(
+            [costed, SHAPES.format(thresholds=ALL_T), SPLITS]) + SESSION_SPLIT,
+        "rates_by_agent_session_split": ",".join(
+            [partial, SHAPES.format(thresholds=ALL_T), SPLITS]) + SESSION_SPLIT,
+        "rates_by_agent_chunk_prices": ",".join(
+            [partial, SHAPES.format(thresholds="100000"), PIECES, PIECE_CHUNKS]) + """
+SELECT session_id, threshold, chunk_idx, ROUND(height + 3.1e-11, 9) AS height, ROUND(calls + 3.1e-11, 9) AS calls,
+       ROUND(cost + 3.1e-11, 9) AS cost, is_first FROM chunks""",
+        "rates_by_agent_supplied": ",".join(
+            [partial, SHAPES.format(thresholds="100000"), SPLITS]) + """
+SELECT session_id, k AS n_chunks, ROUND(peak, 4) AS peak,
+       ROUND(CAST(read_after AS DOUBLE), 4) AS cache_read_split,
+       ROUND(split_cost, 4) AS split_cost, ROUND(oh_total, 4) AS oh_total,
+       ROUND(oh_gen, 4) AS oh_gen, ROUND(oh_write, 4) AS oh_write,
+       ROUND(oh_reread, 4) AS oh_reread, ROUND(saved, 4) AS saved, peak > 0 AS heights_ok
+FROM splits WHERE alpha = 0.1e0""",
+        "supplied_piece_prices": SUPPLIED_PIECES + """
+SELECT session_id, 400::BIGINT AS threshold, CAST(idx AS BIGINT) AS chunk_idx,
+       ROUND(height + 3.1e-11, 9) AS height,
+       ROUND(calls + 3.1e-11, 9) AS calls, ROUND(cost + 3.1e-11, 9) AS cost, is_first FROM piece_costs""",
+        "supplied_distribution": SUPPLIED_PIECES + """,
+placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cost) - 1 AS place, COUNT(*) OVER () AS every
+           FROM piece_costs)
+SELECT 400::BIGINT AS threshold, COUNT(*) AS n_chunks, ROUND(AVG(cost) + 3.1e-11, 9) AS mean_cost,
+       ROUND(MAX(cost) FILTER (place = LEAST(every - 1, FLOOR(0.1e0 * every))) + 3.1e-11, 9) AS p10,
+       ROUND(MAX(cost) FILTER (place = LEAST(every - 1, FLOOR(0.5e0 * every))) + 3.1e-11, 9) AS p50,
+       ROUND(MAX(cost) FILTER (place = LEAST(every - 1, FLOOR(0.9e0 * every))) + 3.1e-11, 9) AS p90,
+       ROUND(MAX(cost) + 3.1e-11, 9) AS max_cost, ROUND(AVG(calls) + 3.1e-11, 9) AS mean_calls
+FROM placed""",
+        "supplied_chunks_parts": SUPPLIED_PIECES + """,
+sums AS (
+  SELECT session_id, COUNT(*) FILTER (splits) AS pieces, SUM(own) AS base, ANY_VALUE(fc) AS fc,
+         SUM(CASE WHEN is_first THEN 0e0 ELSE GREATEST(calls - 1, 0) END) AS again,
+         ANY_VALUE(peak) AS peak, ANY_VALUE(splits) AS splits, ANY_VALUE(cr) AS cr,
+         SUM(calls * height / 2e0) AS read_pieces
+  FROM piece_costs GROUP BY session_id),
+priced AS (
+  SELECT *, GREATEST(pieces, 1) AS n_chunks, alpha * threshold * again * 0.475e0 / 1e6 AS oh_reread,
+         alpha * threshold * (GREATEST(pieces, 1) - 1) * 23.75e0 / 1e6 AS oh_gen,
+         alpha * threshold * (GREATEST(pieces, 1) - 1) * 5.9375e0 / 1e6 AS oh_write
+  FROM sums, (SELECT UNNEST([200, 400]::BIGINT[]) AS threshold),
+       (SELECT UNNEST([0.05e0, 0.1e0]) AS alpha))
+SELECT session_id, threshold, alpha, n_chunks, ROUND(CASE WHEN splits THEN peak END + 3.1e-11, 9) AS peak,
+       ROUND(CASE WHEN splits THEN read_pieces ELSE cr END + 3.1e-11, 9) AS cache_read_split,
+       ROUND(base + oh_gen + oh_write + oh_reread + 3.1e-11, 9) AS split_cost,
+       ROUND(oh_gen + oh_write + oh_reread + 3.1e-11, 9) AS oh_total, ROUND(oh_gen + 3.1e-11, 9) AS oh_gen,
+       ROUND(oh_write + 3.1e-11, 9) AS oh_write, ROUND(oh_reread + 3.1e-11, 9) AS oh_reread,
+       ROUND(fc - base - oh_gen - oh_write - oh_reread + 3.1e-11, 9) AS saved
+FROM priced""",
         "split_grid": ONE_RATE_GRID + SPLIT_GRID.format(gen="oh_gen", wri="oh_write"),
         "savings_table": ONE_RATE_GRID + """
 SELECT alpha, threshold, ROUND(saved, 4) AS saved,

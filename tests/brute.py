@@ -1,73 +1,101 @@
-"""The model in plain Python, one session at a time, to check the Spark jobs against."""
+"""The model in plain Python, one session at a time, to check the Spark jobs against.
 
-import math
+It follows the context token by token where that is feasible: a ramp is walked up piece by piece, and
+bills add up call by call or piece by piece instead of by closed forms.
+"""
 
 FRESH, GENERATED, WRITTEN, READ = 4.75e-6, 23.75e-6, 4.75e-6 * 1.25, 4.75e-6 * 0.10
 FIELDS = ("session_id", "agent", "input_tokens", "output_tokens", "cache_creation_tokens",
           "cache_read_tokens", "api_call_count")
 
 
-def bill(s, read=None):
-    read = s["cache_read_tokens"] if read is None else read
-    return work(s) + read * READ
+def work(s):
+    dollars = 0.0
+    for field, price in (("input_tokens", FRESH), ("output_tokens", GENERATED),
+                         ("cache_creation_tokens", WRITTEN)):
+        dollars += s[field] * price
+    return dollars
 
 
-def work(s):
-    return (s["input_tokens"] * FRESH + s["output_tokens"] * GENERATED
-            + s["cache_creation_tokens"] * WRITTEN)
+def bill(s, read=None):
+    return work(s) + (s["cache_read_tokens"] if read is None else read) * READ
 
 
 def peak(s):
-    if s["api_call_count"] > 0 and s["cache_read_tokens"] > 0:
-        return 2 * s["cache_read_tokens"] / s["api_call_count"]
-    return None
+    """The top of a triangle with a base of all calls and an area of all cache reads."""
+    calls, area = s["api_call_count"], s["cache_read_tokens"]
+    if calls <= 0 or area <= 0:
+        return None
+    return area / (calls / 2)
 
 
-def heights(s, threshold):
-    top = peak(s)
-    if top is None or top <= threshold:
-        return None
-    k = math.ceil(top / threshold)
-    return [threshold] * (k - 1) + [top - (k - 1) * threshold]
+def walked(top, threshold):
+    """(from, to) of each piece on the way up to ``top``."""
+    edges, at = [], 0
+    while at + threshold < top:
+        edges.append((at, at + threshold))
+        at += threshold
+    edges.append((at, top))
+    return edges
 
 
-def overhead(calls, summary):
-    """Generation, writing and rereading dollars of the summaries of the given pieces."""
-    return (sum(summary * GENERATED for _ in calls), sum(summary * WRITTEN for _ in calls),
-            sum(summary * READ * max(m - 1, 0) for m in calls))
+def summary_bill(m, summary):
+    """What a piece of ``m`` calls pays for its summary: made, stored, and read by later calls."""
+    later = m - 1 if m > 1 else 0.0
+    return summary * GENERATED, summary * WRITTEN, later * summary * READ
+
+
+def ramp(s, edges, top, summary):
+    """Rows (cost, calls, height, summary parts) of a session whose context restarts at each edge."""
+    rows = []
+    calls_per_token = s["api_call_count"] / top
+    for low, high in edges:
+        height = high - low
+        m = calls_per_token * height
+        # A call at height h reads h tokens: the mean over the piece is half its height.
+        own = bill(s, 0) * (m / s["api_call_count"]) + m * (height / 2) * READ
+        parts = summary_bill(m, summary) if rows else (0.0, 0.0, 0.0)
+        rows.append((own + sum(parts), m, height, parts))
+    return rows
 
 
 def price_pieces(s, pieces, top, summary):
     """Cost and overhead of a session cut into pieces of the given heights, with a given peak."""
-    n = s["api_call_count"]
-    calls = [h * n / top for h in pieces]
-    oh = sum(overhead(calls[1:], summary))
-    return bill(s, n / (2 * top) * sum(h * h for h in pieces)) + oh, oh
+    at, edges = 0.0, []
+    for height in pieces:
+        edges.append((at, at + height))
+        at += height
+    rows = ramp(s, edges, top, summary)
+    return sum(r[0] for r in rows), sum(sum(r[3]) for r in rows)
+
+
+def _cut(s, threshold, alpha):
+    top = peak(s)
+    if top is None or not top > threshold:
+        return None
+    return ramp(s, walked(top, threshold), top, alpha * threshold)
 
 
 def split(s, threshold, alpha):
-    cut = heights(s, threshold)
-    if cut is None:
+    rows = _cut(s, threshold, alpha)
+    if rows is None:
         return {"k": 1, "split_cost": bill(s), "oh": (0.0, 0.0, 0.0)}
-    calls = [h * s["api_call_count"] / peak(s) for h in cut]
-    return {"k": len(cut), "split_cost": price_pieces(s, cut, peak(s), alpha * threshold)[0],
-            "oh": overhead(calls[1:], alpha * threshold)}
+    return {"k": len(rows), "split_cost": sum(r[0] for r in rows),
+            "oh": tuple(sum(r[3][i] for r in rows) for i in range(3))}
 
 
 def pieces(s, threshold, alpha):
     """Cost, calls and height of each piece."""
-    cut = heights(s, threshold)
-    n = s["api_call_count"]
-    if cut is None:
-        return [(bill(s), float(n), peak(s))]
-    out = []
-    for j, h in enumerate(cut):
-        m = h * n / peak(s)
-        own = work(s) * m / n + m * h / 2 * READ
-        out.append((own + (sum(overhead([m], alpha * threshold)) if j else 0.0), m, h))
-    return out
+    rows = _cut(s, threshold, alpha)
+    if rows is None:
+        return [(bill(s), float(s["api_call_count"]), peak(s))]
+    return [row[:3] for row in rows]
 
 
 def at_rank(values, p):
-    values = sorted(values)
-    return values[min(len(values) - 1, int(p / 100 * len(values)))]
+    """The smallest value that more than the wanted share of all values don't exceed."""
+    wanted = int(p / 100 * len(values))
+    for candidate in sorted(set(values)):
+        if sum(v <= candidate for v in values) > wanted:
+            return candidate
+    return max(values)

@@ -75,3 +75,17 @@ def test_percentile_is_not_percentile_disc(spark):
     """With an even count the median is the upper of the two middle values."""
     frame = spark.createDataFrame([(1, float(i), 1.0, 1) for i in range(4)], SCHEMA)
     assert tt.chunk_distribution(frame).first()["p50"] == 2.0
+
+
+@pytest.mark.parametrize("cost", ["rand(3) * rand(4)", "if(id % 50 = 0, rand(5), 0.25)"])
+def test_few_passes_over_a_million_prices(spark, monkeypatch, cost):
+    """Distinct prices, and mostly equal ones: the first pass, and two more at most."""
+    passes = []
+    narrow = distribution._next_pass
+    monkeypatch.setattr(distribution, "_next_pass", lambda *a: passes.append(1) or narrow(*a))
+    monkeypatch.setattr(distribution, "EXACT_ROWS", 1_000)  # as a larger table would need it
+    frame = spark.range(1_000_000).selectExpr("1L AS threshold", f"{cost} AS cost", "1.0D AS calls")
+    with tt.staged(frame) as prices:
+        got = tt.chunk_distribution(prices).first()
+        assert len(passes) <= 2
+        assert got["p50"] == prices.selectExpr("sort_array(collect_list(cost))[500000]").first()[0]

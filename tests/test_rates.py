@@ -1,6 +1,7 @@
 """One rate card, another card, and a table of rates."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import tokentariff as tt
 from tokentariff.functions import pricing
@@ -63,6 +64,25 @@ def test_any_session_column_can_be_the_key(spark, random_sessions):
         tt.session_cost(frame, rates.withColumnRenamed("session_id", "model"))
 
 
+def test_null_field_takes_its_default(spark, make_sessions):
+    frame, _ = make_sessions([(0, 0, 1_000_000, 0, 10)], agent="a")
+    rates = spark.createDataFrame([("a", 3.0, 9.0, None, 0.5)], "agent string, " + ", ".join(
+        f"{name} double" for name in tt.RateCard._fields))
+    assert tt.session_cost(frame, rates).first()["cache_write_cost"] == pytest.approx(3.75)
+    assert tt.RateCard(input_usd_per_mtok=3).cache_read_factor == 0.10
+
+
+def test_table_by_session_ships_each_rate_once(spark, make_sessions, monkeypatch):
+    monkeypatch.setattr(pricing, "BROADCAST_ROWS", 0)
+    frame, _ = make_sessions([(i, 0, 0, 0, 1) for i in range(500)])
+    rates = frame.select("session_id", *[F.lit(float(i + 1)).alias(name) for i, name in
+                                         enumerate(tt.RateCard._fields)])
+    costed = tt.session_cost(frame, rates)
+    assert costed.count() == 500
+    plan = costed._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "SortMergeJoin" in plan
+
+
 def test_repeated_key_is_refused(spark, random_sessions):
     rates = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0)] * 2, COLUMNS)
     with pytest.raises(ValueError):

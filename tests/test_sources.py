@@ -44,6 +44,16 @@ def test_ids_and_counts_of_other_types(spark):
     assert {t for _, t in sessions.dtypes[2:]} == {"bigint"}
 
 
+@pytest.mark.parametrize("wrong", [1.9, float("nan"), 1e30])
+def test_counts_that_are_not_whole_are_refused(spark, wrong):
+    raw = spark.createDataFrame(
+        [(1, "claude-code", 1, wrong, 3, None, 5)],
+        "session_id long, agent string, input_tokens int, output_tokens double,"
+        "cache_creation_tokens int, cache_read_tokens int, api_call_count int")
+    with pytest.raises(Exception, match="output_tokens must hold whole numbers"):
+        tt.select_sessions(raw).collect()
+
+
 def test_wrong_tables_are_refused(spark):
     with pytest.raises(ValueError, match="agent"):
         tt.select_sessions(spark.range(3).withColumnRenamed("id", "session_id"))
@@ -57,7 +67,8 @@ def test_scan_reads_only_what_is_needed(spark, table):
     assert "PushedFilters: [In(agent, [Claude Code,claude-code])]" in plan
     schema = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
     assert "notes" not in schema and "session_id" not in schema
-    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 2  # tree and its detail
+    # The sums by threshold, and their few rows into one partition; each in the tree and its detail.
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 4
 
 
 def test_reports_shuffle_nothing_more_than_the_grid(spark, table):
@@ -101,6 +112,30 @@ def test_turn_totals_do_not_depend_on_the_block(spark, monkeypatch):
     assert sorted(samples.conversation_turns(spark, folder).collect()) == whole
 
 
+def test_conversations_are_scanned_once(spark):
+    pieces = samples.conversation_pieces(samples.conversation_turns(spark, f"{DATA}/sf0.001"))
+    pieces.collect()
+    plan = pieces._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_reports_print_every_row(spark, table, capsys):
+    from tokentariff.__main__ import main
+    thresholds = [str(t) for t in range(50_000, 50_000 + 300)]
+    main([table, "--thresholds", *thresholds, "--sweep", "100000"])
+    printed = capsys.readouterr().out
+    assert all(f"|{t} " in printed for t in thresholds)
+
+
+def test_study_reads_sessions_once_for_all_but_the_distribution(spark, table):
+    study = tt.run_study(tt.load_sessions(spark, table))
+    want = tt.corpus_baseline(tt.session_cost(tt.load_sessions(spark, table)))
+    assert tuple(study.baseline.first()) == pytest.approx(tuple(want.first()))
+    assert "InMemoryTableScan" in _plan(study.baseline)
+    assert "InMemoryTableScan" in _plan(study.sweep)
+    study.totals.unpersist()
+
+
 def test_stream_gives_the_same_as_a_read(spark, table, tmp_path):
     want = tt.load_sessions(spark, table)
     stream = tt.stream_sessions(

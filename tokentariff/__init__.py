@@ -3,7 +3,8 @@
 from .defaults import DEFAULT_RATES, RateCard
 from .operators import (best_threshold, chunk_distribution, chunk_prices, corpus_baseline,
                         expand_pieces, overhead_breakdown, price_supplied_chunks, savings_table,
-                        session_cost, session_split, split_grid, threshold_sweep)
+                        session_cost, session_split, split_grid, supplied_piece_prices,
+                        threshold_sweep)
 from .plans import Study, run_study
 from .sources import load_sessions, select_sessions, staged
 from .streaming import stream_sessions
@@ -12,4 +13,4 @@ __all__ = ["DEFAULT_RATES", "RateCard", "Study", "best_threshold", "chunk_distri
            "chunk_prices", "corpus_baseline", "expand_pieces", "load_sessions",
            "overhead_breakdown", "price_supplied_chunks", "run_study", "savings_table",
            "select_sessions", "session_cost", "session_split", "split_grid", "staged",
-           "stream_sessions", "threshold_sweep"]
+           "stream_sessions", "supplied_piece_prices", "threshold_sweep"]

@@ -31,8 +31,8 @@ def main(args=None) -> None:
             report.write.mode("overwrite").parquet(f"{chosen.out}/{name}")
         else:
             print(name)
-            report.show(1000, truncate=False)
-    study.grid.unpersist()
+            report.show(max(report.count(), 1), truncate=False)
+    study.totals.unpersist()
 
 
 if __name__ == "__main__":

@@ -6,14 +6,15 @@ from typing import NamedTuple
 class RateCard(NamedTuple):
     """Dollar rates per million tokens, and the cache multiples of the input rate."""
 
-    input_usd_per_mtok: float
-    output_usd_per_mtok: float
-    cache_write_factor: float
-    cache_read_factor: float
+    # The published numbers depend on these.
+    input_usd_per_mtok: float = 4.75
+    output_usd_per_mtok: float = 23.75
+    cache_write_factor: float = 1.25
+    cache_read_factor: float = 0.10
 
 
 # The published numbers depend on these.
-DEFAULT_RATES = RateCard(4.75, 23.75, 1.25, 0.10)
+DEFAULT_RATES = RateCard()
 AGENTS = ("Claude Code", "claude-code")
 ALPHAS = (0.05, 0.10, 0.15, 0.20)
 THRESHOLDS = (100_000, 150_000)

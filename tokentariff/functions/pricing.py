@@ -11,7 +11,6 @@ Price = Union[float, Column]
 Rates = Union[RateCard, DataFrame]
 
 BROADCAST_ROWS = 100_000
-SALTS = 64
 
 
 class TokenPrices(NamedTuple):
@@ -41,7 +40,8 @@ def with_prices(sessions: DataFrame, rates: Rates = DEFAULT_RATES):
 
     One rate card gives plain numbers and leaves the frame alone. A table of rates, with the
     ``RateCard`` columns and one key column that sessions have too, gives price columns on every
-    row; rows whose key is not in the table get the default rates.
+    row. A null field of the table has its default, and rows whose key is not in the table get the
+    default rates.
     """
     if not isinstance(rates, DataFrame):
         return sessions, prices_from(RateCard(*rates))
@@ -49,9 +49,9 @@ def with_prices(sessions: DataFrame, rates: Rates = DEFAULT_RATES):
     if len(keys) != 1 or keys[0] not in sessions.columns:
         raise ValueError("a rates table needs one key column, and sessions need it too")
     key = keys[0]
-    prices = prices_from([F.col(name) for name in RateCard._fields])
-    table = rates.select(
-        F.col(key), *[p.cast("double").alias(n) for n, p in zip(PRICE_COLUMNS, prices)])
+    prices = prices_from([F.coalesce(F.col(name).cast("double"), F.lit(default))
+                          for name, default in DEFAULT_RATES._asdict().items()])
+    table = rates.select(F.col(key), *[p.alias(n) for n, p in zip(PRICE_COLUMNS, prices)])
     joined = _join_rates(sessions, table, key)
     fallback = prices_from(DEFAULT_RATES)
     filled = joined.withColumns(
@@ -67,12 +67,9 @@ def _join_rates(sessions: DataFrame, table: DataFrame, key: str) -> DataFrame:
         raise ValueError(f"rates table has more than one row for a value of {key!r}")
     if size["keys"] <= BROADCAST_ROWS:
         return sessions.join(F.broadcast(table), key, "left")
-    # Too many keys to ship everywhere: shuffle, spreading each key over several tasks so that
-    # one busy key is not one task.
-    salted = sessions.withColumn("salt", F.pmod(F.xxhash64("session_id"), F.lit(SALTS)))
-    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = copies.withColumn("salt", F.col("salt").cast("long"))
-    return salted.join(copies, [key, "salt"], "left").drop("salt")
+    # Too many keys to ship everywhere: shuffle. Adaptive execution may split the sessions of a
+    # busy key, since they are the left side.
+    return sessions.join(table.hint("merge"), key, "left")
 
 
 def token_cost(prices: TokenPrices, cache_read: Column) -> Column:

@@ -3,8 +3,9 @@ from .distribution import chunk_distribution
 from .pieces import chunk_prices, expand_pieces
 from .reports import best_threshold, overhead_breakdown, savings_table, threshold_sweep
 from .splitting import session_split, split_grid
-from .supplied import price_supplied_chunks
+from .supplied import price_supplied_chunks, supplied_piece_prices
 
 __all__ = ["best_threshold", "chunk_distribution", "chunk_prices", "corpus_baseline",
            "expand_pieces", "overhead_breakdown", "price_supplied_chunks", "savings_table",
-           "session_cost", "session_split", "split_grid", "threshold_sweep"]
+           "session_cost", "session_split", "split_grid", "supplied_piece_prices",
+           "threshold_sweep"]

@@ -22,8 +22,14 @@ def session_cost(sessions: DataFrame, rates: Rates = DEFAULT_RATES) -> DataFrame
 
 def corpus_baseline(costed: DataFrame) -> DataFrame:
     """One row: sessions, total cost and cache-read cost. Ratios of an empty corpus are null."""
-    totals = costed.agg(
-        F.count("*").alias("n_sessions"),
+    return baseline_of(costed.select(F.lit(1).cast("long").alias("n_sessions"), "full_cost",
+                                     "cache_read_cost"))
+
+
+def baseline_of(sums: DataFrame) -> DataFrame:
+    """The baseline from rows of sums over parts of the corpus, or from no row."""
+    totals = sums.agg(
+        F.coalesce(F.sum("n_sessions"), F.lit(0).cast("long")).alias("n_sessions"),
         F.coalesce(F.sum("full_cost"), F.lit(0.0)).alias("full_cost"),
         F.coalesce(F.sum("cache_read_cost"), F.lit(0.0)).alias("cache_read_cost"))
     count = F.nullif("n_sessions", F.lit(0))

@@ -16,8 +16,8 @@ from ..defaults import PERCENTILES
 
 LOG_BINS = 24        # bins per factor of e in the first pass
 LOG_OFFSET = 20_000  # more than LOG_BINS times the logarithm of any double
-RANGE_BINS = 512     # bins per range in the passes after it
-EXACT_ROWS = 50_000  # a range with no more rows than this is resolved value by value
+RANGE_BINS = 16_384  # bins per range in the passes after it
+EXACT_ROWS = 1_000_000  # a range with no more rows than this is resolved value by value
 
 RESULT = ("threshold {kind}, n_chunks long, mean_cost double, {percentiles}, "
           "max_cost double, mean_calls double")

@@ -73,21 +73,18 @@ def _piece_cost(prices: TokenPrices, summary: Column) -> Column:
 def expand_pieces(compact: DataFrame, run: int = RUN) -> DataFrame:
     """One row per piece from the compact form.
 
-    A session may have any number of pieces. Rows that stand for more than ``run`` of them are
-    cut into runs, and only those runs are shuffled, so no task has to produce them all.
+    A session may have any number of pieces. Rows are cut into runs of ``run`` pieces at most, and
+    the runs are dealt out before they are expanded, so no task has to produce them all. The
+    input is read once.
     """
     kept = [c for c in compact.columns if c not in ("chunk_idx", "multiplicity")]
     many = F.col("multiplicity")
 
-    def offsets(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
-        return (rows.withColumn("offset", F.explode(F.sequence(start, stop)))
-                .select(*kept, (F.col("chunk_idx") + F.col("offset")).alias("chunk_idx")))
-
-    short = offsets(compact.where(many <= run), F.lit(0).cast("long"), many - 1)
     starts = F.sequence(F.lit(0).cast("long"), many - 1, F.lit(run).cast("long"))
-    runs = (compact.where(many > run)
-            .withColumn("start", F.explode(starts))
-            .repartition("session_id", "threshold", "start"))
-    long = offsets(runs, F.col("start"), F.least(F.col("start") + run, many) - 1)
-    return short.unionByName(long).select(
-        "session_id", "threshold", "chunk_idx", "height", "calls", "cost", "is_first")
+    runs = (compact.withColumn("start", F.explode(starts))
+            .repartition("session_id", "threshold", "chunk_idx", "start"))
+    places = F.sequence(F.col("start"), F.least(F.col("start") + run, many) - 1)
+    return (runs.withColumn("offset", F.explode(places))
+            .select(*kept, (F.col("chunk_idx") + F.col("offset")).alias("chunk_idx"))
+            .select("session_id", "threshold", "chunk_idx", "height", "calls", "cost",
+                    "is_first"))

@@ -71,20 +71,32 @@ def split_grid(sessions: DataFrame, thresholds: Iterable = all_thresholds(),
     Sessions are summed per threshold, a few partial rows per task; alphas multiply the result.
     The few result rows are one partition, so the reports on them shuffle nothing more.
     """
+    return grid_of(grid_totals(sessions, thresholds, rates), alphas)
+
+
+def grid_totals(sessions: DataFrame, thresholds: Iterable = all_thresholds(),
+                rates: Rates = DEFAULT_RATES) -> DataFrame:
+    """One row per threshold: sums over the sessions that all alphas and the baseline share."""
     priced, prices = with_prices(sessions, rates)
     new = F.col("k") - 1
-    totals = (
+    return (
         _cut(priced, prices, thresholds)
+        .withColumn("cache_read_cost", F.col("cache_read_tokens") * prices.cache_read)
         .groupBy("threshold")
         .agg(F.count("*").alias("n_sessions"),
              F.sum("full_cost").alias("full_cost"),
+             F.sum("cache_read_cost").alias("cache_read_cost"),
              F.sum("base").alias("base"),
              F.sum("k").alias("pieces"),
              F.count_if(F.col("k") > 1).alias("n_split"),
              summed(new, prices.generated).alias("generated"),
              summed(new, prices.cache_write).alias("written"),
              summed(F.col("rereads"), prices.cache_read).alias("reread"))
-        .coalesce(1))
+        .repartition(1))
+
+
+def grid_of(totals: DataFrame, alphas: Iterable = ALPHAS) -> DataFrame:
+    """The grid from its totals."""
     return (
         totals.withColumn("alpha", F.explode(g.literal_alphas(alphas)))
         .withColumns(_overheads(SummaryDollars(*map(F.col, SummaryDollars._fields))))

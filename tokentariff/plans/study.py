@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame
 
 from ..defaults import ALPHAS, DEFAULT_RATES, REPORT_ALPHA, SWEEP, THRESHOLDS
 from ..functions.pricing import Rates
-from ..operators import (best_threshold, chunk_distribution, chunk_prices, corpus_baseline,
-                         overhead_breakdown, savings_table, session_cost, split_grid,
-                         threshold_sweep)
-from ..operators.splitting import all_thresholds
+from ..operators import (best_threshold, chunk_distribution, chunk_prices, overhead_breakdown,
+                         savings_table, threshold_sweep)
+from ..operators.billing import baseline_of
+from ..operators.splitting import all_thresholds, grid_of, grid_totals
 
 
 class Study(NamedTuple):
     baseline: DataFrame
+    totals: DataFrame
     grid: DataFrame
     savings: DataFrame
     overhead: DataFrame
@@ -28,16 +29,19 @@ def run_study(sessions: DataFrame, thresholds: Iterable = THRESHOLDS, sweep: Ite
               report_alpha: float = REPORT_ALPHA) -> Study:
     """All reports.
 
-    The grid, a row per threshold and alpha, is kept for those drawn from it; call
-    ``grid.unpersist()`` when done. Sessions are read for the baseline, for the grid and in each
-    pass of the distribution: give a plain table, or a ``staged`` one if they are costly to derive.
+    Totals, a row per threshold, are kept for the reports drawn from them; call
+    ``totals.unpersist()`` when done. Sessions are read once for these, and in each pass of the
+    distribution: give a plain table, or a ``staged`` one if they are costly to derive.
     """
     alphas = list(alphas)
     grid_alphas = sorted({*alphas, report_alpha})
-    grid = split_grid(sessions, all_thresholds(thresholds, sweep), grid_alphas, rates).persist()
+    needed = all_thresholds(thresholds, sweep)
+    totals = grid_totals(sessions, needed, rates).persist()
+    grid = grid_of(totals, grid_alphas)
     chosen = grid.where(grid["alpha"].isin(alphas))
     return Study(
-        baseline=corpus_baseline(session_cost(sessions, rates)),
+        baseline=baseline_of(totals.where(totals["threshold"] == needed[0])),
+        totals=totals,
         grid=grid,
         savings=savings_table(chosen, thresholds),
         overhead=overhead_breakdown(grid, report_alpha, thresholds),

@@ -35,46 +35,54 @@ def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
     The running totals are built in two steps, within a block of turns and over the blocks of a
     conversation, so that no task has to hold a whole long conversation.
     """
-    turns = spark.read.parquet(f"{folder}/conversations.parquet").select(
+    # One shuffle of the turns, with estimates in place of the texts, serves both uses below: all
+    # its columns are used on either side, so neither is pruned to another plan.
+    opens = F.col("role") == "user"
+    turns = (spark.read.parquet(f"{folder}/conversations.parquet").select(
         "conv_id", "turn", "role",
         F.floor((F.length("text") + 3) / 4.0).alias("tok"),
-        (F.col("role") == "user").cast("long").alias("opens"),
         F.floor(F.col("turn") / TURN_BLOCK).alias("block"))
+        .where(F.col("conv_id").isNotNull() & F.col("block").isNotNull())
+        .repartition("conv_id", "block"))
     earlier = (Window.partitionBy("conv_id").orderBy("block")
                .rowsBetween(Window.unboundedPreceding, -1))
     starts = (turns.groupBy("conv_id", "block")
-              .agg(F.sum("tok").alias("tok"), F.sum("opens").alias("opens"))
-              .select("conv_id", "block",
+              .agg(F.sum("tok").alias("tok"), F.count_if(opens).alias("opens"),
+                   F.max("turn").alias("last"))
+              .select("conv_id", "block", "last",
                       _or_zero(F.sum("tok").over(earlier)).alias("tok_before"),
                       _or_zero(F.sum("opens").over(earlier)).alias("opens_before")))
     inside = (Window.partitionBy("conv_id", "block").orderBy("turn")
               .rowsBetween(Window.unboundedPreceding, 0))
-    return (turns.join(starts, ["conv_id", "block"])
+    return (turns.join(starts, ["conv_id", "block"]).where(F.col("turn") <= F.col("last"))
             .withColumn("ctx", F.col("tok_before") + F.sum("tok").over(inside) - F.col("tok"))
-            .withColumn("opened", F.col("opens_before") + F.sum("opens").over(inside))
+            .withColumn("opened", F.col("opens_before") + F.sum(opens.cast("long")).over(inside))
             .select("conv_id", "turn", "role", "tok", "ctx", "opened"))
 
 
-def conversation_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Supplied piece heights: a piece opens at every user turn."""
+def conversation_pieces(turns: DataFrame) -> DataFrame:
+    """Supplied pieces: one opens at every user turn. With the counts of their turns; assistant
+    turns are the calls."""
     piece = F.greatest(F.col("opened"), F.lit(1).cast("long")) - 1
-    return (conversation_turns(spark, folder)
-            .groupBy(F.col("conv_id").alias("session_id"), piece.alias("chunk_idx"))
-            .agg(F.sum("tok").alias("height")))
-
-
-def conversation_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """The session rows that go with ``conversation_pieces``; assistant turns are the calls."""
     reply = F.col("role") == "assistant"
-    return (conversation_turns(spark, folder)
-            .groupBy(F.col("conv_id").alias("session_id"))
-            .agg(_sum_where(~reply, F.col("tok")).alias("input_tokens"),
+    return (turns.groupBy(F.col("conv_id").alias("session_id"), piece.alias("chunk_idx"))
+            .agg(F.sum("tok").alias("height"),
+                 _sum_where(~reply, F.col("tok")).alias("input_tokens"),
                  _sum_where(reply, F.col("tok")).alias("output_tokens"),
-                 F.sum("tok").alias("cache_creation_tokens"),
                  _sum_where(reply, F.col("ctx")).alias("cache_read_tokens"),
                  F.count_if(reply).alias("api_call_count")))
 
 
+def conversation_sessions(pieces: DataFrame) -> DataFrame:
+    """The session rows that go with the pieces: sums of their counts."""
+    return (pieces.groupBy("session_id")
+            .agg(F.sum("input_tokens").alias("input_tokens"),
+                 F.sum("output_tokens").alias("output_tokens"),
+                 F.sum("height").alias("cache_creation_tokens"),
+                 F.sum("cache_read_tokens").alias("cache_read_tokens"),
+                 F.sum("api_call_count").alias("api_call_count")))
+
+
 def _nearest(value: Column) -> Column:
     """Nearest whole number of a positive value; ``round`` would go through decimals."""
     return F.floor(value + 0.5)

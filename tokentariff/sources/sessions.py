@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,26 @@ def select_sessions(raw: DataFrame, agents: Iterable[str] = AGENTS,
                     id_column: str = "session_id") -> DataFrame:
     """Keep the sessions of the given agents (exact match), with null counts as zero.
 
-    The id keeps its own type; agent must be a string and the counts numeric.
+    The id keeps its own type; agent must be a string and the counts numeric. Counts are whole: a
+    fraction, a NaN or a number beyond a long stops the job with the name of its column.
     """
     _check(raw, id_column)
     kept = raw.where(F.col("agent").isin(list(agents)))
-    counts = [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
-              for c in TOKEN_COLUMNS]
+    counts = [F.coalesce(_whole(raw, c), F.lit(0).cast("long")).alias(c) for c in TOKEN_COLUMNS]
     return kept.select(F.col(id_column).alias("session_id"), "agent", *counts)
 
 
+def _whole(raw: DataFrame, name: str) -> Column:
+    value = F.col(name)
+    if isinstance(raw.schema[name].dataType, T.IntegralType):
+        return value.cast("long")
+    number = value.cast("double")
+    good = ~F.isnan(number) & (number == F.floor(number)) & (F.abs(number) < 2.0 ** 63)
+    wrong = F.concat(F.lit(f"{name} must hold whole numbers, found "), value.cast("string"))
+    return F.when(value.isNull() | good, value.cast("long")).otherwise(
+        F.raise_error(wrong).cast("long"))
+
+
 def _check(raw: DataFrame, id_column: str) -> None:
     types = {field.name: field.dataType for field in raw.schema}
     missing = [c for c in (id_column, "agent", *TOKEN_COLUMNS) if c not in types]

@@ -19,10 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame written as parquet below the shared folder, read back. The files stay there."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @contextmanager
 def staged(frame: DataFrame):
-    """Write the frame as parquet, yield it read back, and delete the files afterwards."""
+    """Write the frame as parquet, yield it read back, and delete the files afterwards. A local
+    session without a shared folder gets the frame itself: nothing is written for it."""
     spark = frame.sparkSession
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local"):
+        yield frame
+        return
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     try:

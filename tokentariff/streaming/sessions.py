@@ -13,10 +13,11 @@ from ..sources.sessions import SESSION_SCHEMA, select_sessions
 
 
 def stream_sessions(spark: SparkSession, path: str, agents: Iterable[str] = AGENTS,
-                    schema=SESSION_SCHEMA, **options) -> DataFrame:
+                    schema=SESSION_SCHEMA, id_column: str = "session_id",
+                    **options) -> DataFrame:
     """Read session files as they arrive, with the same columns and rows as ``load_sessions``.
 
     ``options`` go to the file stream, such as ``maxFilesPerTrigger``.
     """
     return select_sessions(spark.readStream.schema(schema).options(**options).parquet(path),
-                           agents)
+                           agents, id_column)
