@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentariff.llm.shingles import ALPHANUMERIC, WordHashes, windows, words_of
-from tokentariff.llm.text import prepare_workers
+from tokentariff.llm.text import packed, prepare_workers, unpacked
 
 WINDOW = 13
 SHINGLE = 5
@@ -111,7 +111,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _block_hits(documents: DataFrame, items) -> DataFrame:
-    """All columns of the documents, with n_words, spans (hit words) and items of this block."""
+    """The packed documents, with n_words, spans (hit words) and items of this block."""
 
     @F.pandas_udf(f"n_words long, spans {SPANS}, items array<long>")
     def hits(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -151,9 +151,14 @@ def item_blocks(benchmark: DataFrame, window: int, block_windows: int) -> int:
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                    shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Every row of ``documents`` with n_words, spans of hit words and the items found."""
+    """Every row of ``documents`` with n_words, spans of hit words and the items found.
+
+    Columns of these names are replaced; all others are kept whatever their names.
+    """
     spark = documents.sparkSession
     prepare_workers(spark)
+    columns = documents.columns
+    documents = packed(documents, "text")
     items = benchmark.select("item_id", "text")
     n = item_blocks(items, window, block_windows)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
@@ -164,8 +169,10 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
         wanted = spark.sparkContext.broadcast(block.all_shingles())
         block.order(_occurrences(documents, wanted))
         blocks.append(spark.sparkContext.broadcast(block))
+    result = unpacked(columns, ("text",), n_words=F.col("n_words"), spans=F.col("spans"),
+                      items=F.col("items"))
     if n == 1:
-        return _block_hits(documents, blocks[0])
+        return _block_hits(documents, blocks[0]).select(*result)
     names = documents.columns
     parts = [_block_hits(documents.withColumn("_row", F.xxhash64(*names)), b) for b in blocks]
     both = parts[0]
@@ -178,8 +185,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
                   F.first("n_words").alias("n_words")))
     rows = documents.withColumn("_row", F.xxhash64(*names)).withColumn(
         "_text", F.md5(F.coalesce("text", F.lit(""))))
-    return rows.join(keyed, ["_row", "_text"]).select(
-        *[F.col(f"`{c}`") for c in names], "n_words", "spans", "items")
+    return rows.join(keyed, ["_row", "_text"]).select(*result)
 
 
 def judged(hits: DataFrame, one_in: int = 20) -> DataFrame:

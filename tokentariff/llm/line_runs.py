@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentariff.llm.text import BLANKS, ascii_lower, work_folder, written
+from tokentariff.llm.text import BLANKS, ascii_lower, packed, unpacked, work_folder, written
 
 SHORTEST, LEAST = 40, 5
 BATCHES, FANOUT = 4, 2
@@ -129,8 +129,8 @@ def drop_repeated_lines(documents: DataFrame, shortest: int = SHORTEST, least: i
     repeated = written(runs.repeated(), f"{folder}/repeated")
     dropped = (log.join(repeated, "hash").where(F.col("doc") != F.col("last_doc"))
                .groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("_places")))
-    names = [F.col(f"`{c}`") for c in documents.columns]
-    rows = documents.select(*names, _doc().alias("_doc"), F.xxhash64("text").alias("_row"))
+    rows = packed(documents, "doc_id", "text").withColumns(
+        {"_doc": _doc(), "_row": F.xxhash64("text")})
     joined = rows.join(dropped, (F.col("_doc") == dropped["doc"])
                        & (F.col("_row") == dropped["row"]), "left")
     lines = lines_of(F.col("text"))
@@ -143,6 +143,8 @@ def drop_repeated_lines(documents: DataFrame, shortest: int = SHORTEST, least: i
         F.element_at("_places", k + 1) - F.element_at("_places", k) - 1))
     kept = F.when(F.size("_places") == 2, F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.flatten(between), "\n"))
-    text = [kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns]
+    whole = unpacked(documents.columns, ("doc_id", "text"))
+    text = [kept.alias("text") if c == "text" else whole[i]
+            for i, c in enumerate(documents.columns)]
     return cut.select(*text, F.size("_lines").cast("long").alias("_n_lines"),
                       (F.size("_places") - 2).cast("long").alias("_n_dropped"))

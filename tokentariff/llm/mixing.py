@@ -74,11 +74,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), perce
 def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150,
         most: int = 2, weight: Column | None = None, keep: tuple[str, ...] = ("doc_id",),
         range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``keep`` columns of every row with source, size, source_size, target and taken."""
-    keep = tuple(c for c in keep if c != "source")
+    """``keep`` columns of every row with source, size, source_size, target and taken, which
+    replace columns of these names."""
+    made = ("source", "size", "source_size", "target", "taken")
+    keep = tuple(c for c in keep if c.lower() not in made)
+    given = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
     quality = text_quality(F.col("text")) if weight is None else weight
     rows = documents.select(
-        *keep, "source", F.col("doc_id").alias("_id"),
+        given.alias("_given"), "source", F.col("doc_id").alias("_id"),
         F.xxhash64("text").alias("_tie"), word_count(F.col("text")).alias("size"),
         exponential_key(F.col("doc_id"), quality).alias("_key"))
     rows = written(rows, work_folder(documents.sparkSession, "mix"))
@@ -107,4 +110,4 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int
     return (summed.withColumn("_epochs", F.coalesce(epochs, F.lit(0)))
             .withColumn("taken", (F.col("size") * (F.col("_epochs") + F.when(
                 (F.col("_epochs") < most) & (middle <= rest), 1).otherwise(0))).cast("long"))
-            .select(*keep, "source", "size", "source_size", "target", "taken"))
+            .select(*[F.col(f"_given.`{c}`") for c in keep], *made))

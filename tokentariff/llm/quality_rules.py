@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentariff.llm.text import (BLANK_CLASS, BLANKS, let, without, work_folder,
-                                  written)
+from tokentariff.llm.text import (BLANK_CLASS, BLANKS, let, packed, unpacked, without,
+                                  work_folder, written)
 
 SYMBOLS = "#*$%&|<>"
 LIMIT = 10
@@ -122,6 +122,9 @@ def frequent_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
 def quality_rules(documents: DataFrame, host: str = "source", limit: int = LIMIT,
                   least_left: int = LEAST_LEFT) -> DataFrame:
     """All columns but the text, with the base statistics, chars_left_percent, depleted and kept."""
+    columns = [c for c in documents.columns if c != "text"]
+    needed = tuple(dict.fromkeys(("doc_id", "text", host)))
+    documents = packed(documents, *needed)
     lines = written(host_lines(documents, host), work_folder(documents.sparkSession, "lines"))
     often = frequent_lines(lines, limit)
     gone = F.when(F.col("_hash").isNotNull(), F.col("chars")).otherwise(0)
@@ -136,12 +139,11 @@ def quality_rules(documents: DataFrame, host: str = "source", limit: int = LIMIT
                                              / F.col("_chars")).alias("_percent")))
     base = base_rules(documents.withColumn(
         "_md5", F.unhex(F.md5(F.coalesce("text", F.lit(""))))))
-    names = [c for c in base.columns if c != "_md5"]
     judged = base.join(
         left, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_md5") == F.col("_text"))
         & F.col(f"`{host}`").eqNullSafe(F.col("_of")), "left")
     percent = F.coalesce("_percent", F.lit(100.0))
-    return judged.select(
-        *[F.col(f"`{c}`") for c in names], percent.alias("chars_left_percent"),
-        (percent < least_left).alias("depleted"),
-        (~F.col("base_failed") & (percent >= least_left)).alias("kept"))
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return judged.select(*unpacked(
+        columns, needed, **{c: F.col(c) for c in made}, chars_left_percent=percent,
+        depleted=percent < least_left, kept=~F.col("base_failed") & (percent >= least_left)))

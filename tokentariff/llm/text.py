@@ -37,6 +37,22 @@ def without(text: Column, characters: str) -> Column:
     return text
 
 
+def packed(frame: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct ``_given``, where no name can clash."""
+    rest = [F.col(f"`{c}`") for c in frame.columns if c not in needed]
+    given = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))
+    return frame.select(*[F.col(f"`{c}`") for c in needed], given.alias("_given"))
+
+
+def unpacked(columns: list[str], needed: tuple[str, ...], **made: Column) -> list[Column]:
+    """The columns of a frame before ``packed``, in order, and those made. A made column takes the
+    place of one with its name."""
+    names = {name.lower() for name in made}
+    before = [F.col(f"`{c}`") if c in needed else F.col(f"_given.`{c}`") for c in columns
+              if c.lower() not in names]
+    return [*before, *[column.alias(name) for name, column in made.items()]]
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table of this run, below the cluster's shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

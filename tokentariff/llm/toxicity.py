@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentariff.llm.text import prepare_workers
+from tokentariff.llm.text import packed, prepare_workers, unpacked
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
 LANDMARKS = 768
@@ -394,7 +394,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
 
 
 def score_texts(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns with score and predicted."""
+    """All columns with score and predicted, which replace columns of these names."""
     spark = documents.sparkSession
     prepare_workers(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -404,5 +404,7 @@ def score_texts(documents: DataFrame, model: Model, threshold: float = THRESHOLD
         for texts in batches:
             yield pd.Series(shared.value.probabilities(list(texts)), dtype="float64")
 
-    return documents.withColumn("score", probability(F.col("text"))).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int"))
+    scored = packed(documents, "text").withColumn("_score", probability(F.col("text")))
+    return scored.select(*unpacked(
+        documents.columns, ("text",), score=F.col("_score"),
+        predicted=(F.col("_score") >= threshold).cast("int")))
