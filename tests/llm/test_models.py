@@ -46,12 +46,12 @@ def test_folded_weights_give_the_kernel_expansion():
     for mark, b in zip(marks, beta):
         for code, value in toxicity.features(mark).items():
             weights[code] += b * value
-    model = toxicity.Model(weights.astype(np.float32), 0.25, (1.0, 0.0))
+    model = toxicity.Model(weights.astype(np.float32), 0.25, (1.0, 0.0, 0.0, 0.0))
     words = ["scoundrel", "scounxdrel", "umbrellas", "off", "it", "uncountable"]
     want = toxicity.kernel(words, marks) @ np.array(beta) + 0.25
     assert model.word_values(words) == pytest.approx(want, abs=1e-5)
     texts = ["it off", None, "", "umbrellas scoundrel", "  "]
-    top = model.top_words(texts)
+    top = model.text_values(texts)[:, 0]
     assert top == pytest.approx([want[[3, 4]].max(), -2, -2, want[[0, 2]].max(), -2], abs=1e-5)
 
 

@@ -14,8 +14,9 @@ documents hold and clean ones don't at the start. The kernel is approximated on
 positive and negative sentences); a linear machine with squared hinge loss is trained on the
 Nystroem features, with the negatives that score highest added in each turn. Since the kernel
 is a product of features of three letters, the machine folds into one weight for each triple,
-and scoring a text is a sweep over its letters. A logistic curve on a document's highest word makes
-the probability.
+and scoring a text is a sweep over its letters. A logistic curve makes the probability of a document: by
+its highest word, by the number of words near the positive side, and by its length, since a longer
+text holds more chance likenesses.
 
 Training takes at most ``sample_docs`` labelled documents of each label, of at most ``sample_chars``
 characters each (a documented bound: the sample is chosen by a hash of the id). Scores use the text
@@ -43,6 +44,7 @@ CLEAN_WEIGHT = 10.0
 PENALTY = 1e-4
 SEED_DOCS = 4
 SWEEP = 100_000
+NEAR = 0.3
 CLASSES = 64
 SPAN, DECAY = 5, 0.75
 TURNS = 5
@@ -191,37 +193,41 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    curve: tuple[float, float]
+    curve: tuple[float, float, float, float]
 
     def word_values(self, words: list[str]) -> np.ndarray:
         """The machine's value of each prepared word of two letters or more."""
         return word_scores(letters("\n".join(words))[0], self.weights)[0] + self.bias
 
-    def top_words(self, texts: list[str | None]) -> np.ndarray:
-        """The highest word value of every text, -2 at least; texts without words have -2."""
-        top = np.full(len(texts), -2.0)
+    def text_values(self, texts: list[str | None]) -> np.ndarray:
+        """Of every text: its highest word value, -2 at least and where it has no words; log(1 + n)
+        of its words with a value of ``NEAR`` or more; and log(1 + n) of all its words."""
+        found = np.zeros((len(texts), 3))
+        found[:, 0] = -2.0
         ends = np.cumsum([len(t or "") + 1 for t in texts])
         classes, kept = letters("\n".join(t or "" for t in texts))
         values, starts = word_scores(classes, self.weights)
         if len(values):
+            values = values + self.bias
             text = np.searchsorted(ends, kept[starts] - 1, side="right")
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-            top[text[first]] = np.maximum(
-                np.maximum.reduceat(values, first) + self.bias, -2.0)
-        return top
+            found[text[first], 0] = np.maximum(np.maximum.reduceat(values, first), -2.0)
+            found[:, 1] = np.log1p(np.bincount(text[values >= NEAR], minlength=len(texts)))
+            found[:, 2] = np.log1p(np.bincount(text, minlength=len(texts)))
+        return found
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Of every text; texts are swept together up to ``SWEEP`` characters."""
         out, group, size = [], [], 0
         for text in texts:
             if group and size + len(text or "") > SWEEP:
-                out.append(self.top_words(group))
+                out.append(self.text_values(group))
                 group, size = [], 0
             group.append(text)
             size += len(text or "")
-        out.append(self.top_words(group) if group else np.empty(0))
-        slope, level = self.curve
-        return 1 / (1 + np.exp(-np.clip(slope * np.concatenate(out) + level, -30, 30)))
+        out.append(self.text_values(group) if group else np.empty((0, 3)))
+        *slopes, level = self.curve
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(out) @ np.array(slopes) + level, -30, 30)))
 
 
 def _words(text: str) -> list[str]:
@@ -253,7 +259,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns:
     """Fit on the texts of labelled documents; their sentences carry the documents' labels."""
     share = (len(toxic) + 1) / (len(toxic) + len(clean) + 2)
     constant = Model(np.zeros(CLASSES ** 3, dtype=np.float32), 0.0,
-                     (0.0, float(np.log(share / (1 - share)))))
+                     (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
     if not toxic or not clean:
         return constant
     rng = np.random.default_rng(seed)
@@ -321,9 +327,12 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns:
                 scores = model.word_values(new)
                 if scores.max() > 0:
                     positives.add(new[int(scores.argmax())])
-    x = np.concatenate([model.top_words([t]) for t in [*toxic, *clean]])[:, None]
+    x = np.concatenate([model.text_values([t]) for t in [*toxic, *clean]])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    return Model(model.weights, model.bias, tuple(map(float, _logistic(x, y))))
+    curve = _logistic(x, y)
+    if curve[0] < 0:  # the count says it all: a higher word never makes a text less toxic
+        curve = np.append(0.0, _logistic(x[:, 1:], y))
+    return Model(model.weights, model.bias, tuple(map(float, curve)))
 
 
 def _spoilt(word: str, rng) -> str:
@@ -370,27 +379,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_texts(documents: DataFrame, labels: DataFrame, sample_docs: int,
-                   sample_chars: int) -> tuple[list[str], list[str]]:
-    """Texts of at most ``sample_docs`` documents of either label, none of them held out."""
+                   sample_chars: int) -> DataFrame:
+    """(toxic, text) of at most ``sample_docs`` documents of either label, none of them held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
                          & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = documents.where(F.length("text").between(1, sample_chars)).select("doc_id", "text")
-    # Three times as many ids as texts are wanted are drawn by hash; long texts drop out.
+    # Twice as many ids as texts are wanted are drawn by hash; long texts drop out.
     ids = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(
         sample_docs * 2) for label in (1, 0)]
-    drawn = ids[0].unionByName(ids[1])
-    rows = (short.join(F.broadcast(drawn), "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    texts: tuple[list[str], list[str]] = ([], [])
-    for label in (1, 0):
-        texts[1 - label].extend(r.text for r in rows.where(F.col("toxic") == label)
-                                .select("text", "doc_id").limit(sample_docs).collect())
-    return texts
+    rows = short.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    drawn = [rows.where(F.col("toxic") == label).orderBy(
+        F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs) for label in (1, 0)]
+    return drawn[0].unionByName(drawn[1]).select(F.col("toxic").cast("int").alias("toxic"), "text")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
         sample_chars: int = SAMPLE_CHARS) -> Model:
-    return train(*training_texts(documents, labels, sample_docs, sample_chars))
+    """Train in one task, on the bounded sample; only the model comes back to the driver."""
+    prepare_workers(documents.sparkSession)
+    sample = training_texts(documents, labels, sample_docs, sample_chars)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: tuple[list[str], list[str]] = ([], [])
+        for batch in batches:
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                texts[1 - int(toxic)].append(text)
+        model = train(sorted(texts[0]), sorted(texts[1]))
+        yield pd.DataFrame([(model.weights.tobytes(), model.bias, list(model.curve))],
+                           columns=["weights", "bias", "curve"])
+
+    row = sample.repartition(1).mapInPandas(
+        run, "weights binary, bias double, curve array<double>").first()
+    if row is None:  # no labelled row at all, so no task had any to train on
+        return train([], [])
+    return Model(np.frombuffer(bytes(row.weights), dtype=np.float32), row.bias, tuple(row.curve))
 
 
 def score_texts(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
