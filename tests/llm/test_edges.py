@@ -131,7 +131,7 @@ def test_ngram_join_of_near_copies(spark, monkeypatch, large, hot, rounds):
             texts[len(texts)] = text
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(
-        frame, hot_size=hot, rounds=rounds).collect()}
+        frame, hot_size=hot, rounds=rounds, leaders=rounds).collect()}
     assert got == brute.groups(texts)
 
 

@@ -13,10 +13,12 @@ that lists bring, by the share of repeated shingles found in the corpus. The ord
 shingles that blocks of the corpus hold repeatedly (at most ``hot_size`` of them, broadcast) last,
 the most frequent at the end, and all others by hash; it decides speed, not results.
 
-Buckets are never expanded into all their pairs. In each of a few rounds one member leads, and those
-that aren't connected with it yet and fit by size are compared with it. What remains
-unconnected in a bucket after that is compared pair by pair. Links are verified on whole sets
-and feed the components, so no link between different components is lost.
+Pairs of buckets of up to ``LARGE`` sets are counted, and the places of the shingles they share bound
+what they can share in all; those that may link are verified on whole sets, each set
+with one partner first, and then only pairs that are not connected yet. Large buckets are never
+expanded into all their pairs: in each of a few rounds one member leads, and those that aren't
+connected with it and fit by size are compared with it; what remains unconnected in a bucket
+after that is compared pair by pair. No link between different components is lost.
 
 Null, empty and blank texts have empty sets and link with nothing; so do rows without a
 doc_id. Repeated rows and rows that share a doc_id are treated row by row; they are linked if
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentariff.llm.components import components
@@ -40,9 +42,11 @@ from tokentariff.llm.text import prepare_workers, work_folder, written
 SHINGLE, PERCENT = 5, 75
 HOT_SIZE = 131_072
 BLOCK = 1 << 21
-ROUNDS = 2
+ROUNDS, LEADERS = 1, 4
 CANDIDATE_COST = 20.0
 BITMAP_BITS = 1 << 27
+GIVEN = 200_000
+LARGE = 64
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -152,14 +156,17 @@ def size_histogram(nodes: DataFrame) -> list[tuple[int, int]]:
 
 def bucket_rows(documents: DataFrame, size: int, percent: int, limit: int, turn: int,
                 hot) -> DataFrame:
-    """(key, id, n, hot): every set in its buckets, of subsets or of single shingles."""
+    """(key, id, n, place, hot): every set in its buckets, of single shingles or of subsets.
+
+    ``place`` counts a shingle's place in the order of its set from 1; it is 0 for a subset.
+    """
     low = least_shared(limit + 1, percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, ranked = WordHashes(), hot.value
         names, ranks = ranked["shingle"], ranked["rank"]
         for batch in batches:
-            keys, ids, ns, hots = [], [], [], []
+            keys, ids, ns, hots, places = [], [], [], [], []
             for values in _sets(batch["text"], size, hashes):
                 n = len(values)
                 if n < 3:
@@ -180,10 +187,12 @@ def bucket_rows(documents: DataFrame, size: int, percent: int, limit: int, turn:
                     i, j = np.triu_indices(len(prefix), 1)
                     out.append(mixed(prefix[i] * np.uint64(3) + mixed(prefix[j])))
                     flags.append(is_hot[i] & is_hot[j])
+                    places.append(np.zeros(len(i), dtype=np.int32))
                 if n > limit or n >= low:
                     one = prefix_length(n, percent, 1)
                     out.append(prefix[:one])
                     flags.append(is_hot[:one])
+                    places.append(np.arange(1, one + 1, dtype=np.int32))
                 count = sum(map(len, out))
                 keys += out
                 hots += flags
@@ -192,42 +201,61 @@ def bucket_rows(documents: DataFrame, size: int, percent: int, limit: int, turn:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64),
                                     "id": np.concatenate(ids).view(np.int64),
-                                    "n": np.concatenate(ns), "hot": np.concatenate(hots)})
+                                    "n": np.concatenate(ns), "place": np.concatenate(places),
+                                    "hot": np.concatenate(hots)})
 
-    return documents.select("text").mapInPandas(run, "key long, id long, n int, hot boolean")
+    return documents.select("text").mapInPandas(
+        run, "key long, id long, n int, place int, hot boolean")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(key, id, n) of buckets with two sets or more; buckets of hot shingles are taken as such.
+    """(key, id, n, place, large) of buckets with two sets or more.
 
-    Rows that aren't hot arrive sorted by key, and pass through in one sweep that only keeps the
-    row before: a bucket is never held.
+    Buckets of hot shingles, or of over ``LARGE`` rows, are large. Rows of a hot shingle are dealt
+    out by id as well, so no task gets a hot bucket whole.
     """
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(0)
+    bucket = Window.partitionBy("key", "part")
+    several = F.min("id").over(bucket) != F.max("id").over(bucket)
+    return (rows.withColumn("part", part).withColumn("several", several)
+            .withColumn("large", F.col("hot") | (F.count("*").over(bucket) > LARGE))
+            .where(F.col("hot") | F.col("several"))
+            .select("key", "id", "n", "place", "large").distinct())
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting = None  # the last row, with whether it has been given out
-        for batch in batches:
-            key, node = batch["key"].to_numpy(), batch["id"].to_numpy()
-            n = batch["n"].to_numpy()
-            given = np.zeros(len(key), dtype=bool)
-            if waiting is not None:
-                key, node = np.append(waiting[0], key), np.append(waiting[1], node)
-                n, given = np.append(waiting[2], n), np.append(waiting[3], given)
-            if not len(key):
-                continue
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, n, given = key[new], node[new], n[new], given[new]
-            follows = np.zeros(len(key) + 1, dtype=bool)
-            follows[1:-1] = key[1:] == key[:-1]
-            shared = (follows[:-1] | follows[1:])
-            out = shared & ~given
-            yield pd.DataFrame({"key": key[out], "id": node[out], "n": n[out]})
-            waiting = (key[-1:], node[-1:], n[-1:], (given | out)[-1:])
-
-    plain = (rows.where(~F.col("hot")).select("key", "id", "n").repartition("key")
-             .sortWithinPartitions("key", "id").mapInPandas(sweep, "key long, id long, n int"))
-    return plain.unionByName(rows.where("hot").select("key", "id", "n").distinct())
+
+def shared_least(n: Column, m: Column, percent: int) -> Column:
+    """What two sets of these sizes share at least if they link."""
+    return F.ceil((n + m).cast("long") * percent / F.lit(float(100 + percent)) - 1e-9)
+
+
+def small_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of buckets that aren't large, by size and by the places they share.
+
+    All shingles up to the last one that a pair shares in such buckets lie in both prefixes. So they
+    share no more than those counted, those of large buckets, and what follows in the shorter rest.
+    """
+    small = buckets.where(~F.col("large"))
+    one = small.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"),
+                       F.col("place").alias("p_a"))
+    other = small.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"),
+                         F.col("place").alias("p_b"))
+    # A light set on lists has the subsets as well, where places are 0.
+    met = one.join(other, "key").where((F.col("a") < F.col("b"))
+                                       & ((F.col("p_a") > 0) == (F.col("p_b") > 0))
+                                       & fits(F.col("n_a"), F.col("n_b"), percent))
+    pairs = met.groupBy("a", "b").agg(
+        F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
+        F.max(F.col("p_a") == 0).alias("by_subset"), F.count_if(F.col("p_a") > 0).alias("shared"),
+        F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"))
+    hidden = buckets.where(F.col("large")).groupBy("id").agg(F.count("*").alias("hidden"))
+    rest = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    unseen = F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0)))
+    return (pairs.join(hidden.select(F.col("id").alias("a"), F.col("hidden").alias("h_a")),
+                       "a", "left")
+            .join(hidden.select(F.col("id").alias("b"), F.col("hidden").alias("h_b")), "b", "left")
+            .where(F.col("by_subset") | (F.col("shared") + unseen + rest >= shared_least(
+                F.col("n_a"), F.col("n_b"), percent)))
+            .select("a", "b"))
 
 
 def needed_sets(documents: DataFrame, size: int, turn: int, ids: DataFrame) -> DataFrame:
@@ -239,13 +267,16 @@ def needed_sets(documents: DataFrame, size: int, turn: int, ids: DataFrame) -> D
     marks = documents.sparkSession.sparkContext.broadcast(_bitmap_of(ids, bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bitmap = WordHashes(), marks.value
+        hashes, bitmap, given = WordHashes(), marks.value, set()
         for batch in batches:
             found = []
             for values in _sets(batch["text"], size, hashes):
                 node = _turned(xxhash.xxh3_128_digest(values.tobytes()), turn)
                 place = node % bits
-                if len(values) > 2 and bitmap[place >> 3] >> (place & 7) & 1:
+                if len(values) > 2 and bitmap[place >> 3] >> (place & 7) & 1 \
+                        and node not in given:
+                    if len(given) < GIVEN:
+                        given.add(node)  # copies in one task are given out once
                     found.append((node - 2**64 if node >= 2**63 else node, values.tobytes()))
             yield pd.DataFrame(found, columns=["id", "shingles"])
 
@@ -293,28 +324,31 @@ def fits(n: Column, m: Column, percent: int) -> Column:
 def _led(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of every bucket's leader with members of other components, and what is left to do.
 
-    ``members`` (key, id, n, component). The leader has met its whole bucket then and goes.
+    ``members`` (key, id, n, component, central). The set that is in most large buckets leads, as
+    the least changed of near copies is. It has met its whole bucket then and goes.
     """
-    rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "component")
+    rank = F.struct((-F.col("central")).alias("order"), F.xxhash64("id", F.lit(turn)).alias("tie"),
+                    "id", "n", "component")
     leaders = members.groupBy("key").agg(F.min(rank).alias("lead"))
     joined = members.join(leaders, "key").where(F.col("id") != F.col("lead.id"))
     pairs = joined.where((F.col("component") != F.col("lead.component"))
                          & fits(F.col("n"), F.col("lead.n"), percent)).select(
         F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-    return pairs, joined.select("key", "id", "n")
+    return pairs, joined.select("key", "id", "n", "central")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their component, of the buckets that still hold several components."""
     named = members.join(labels, "id", "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
+        "key", "id", "n", "central", F.coalesce("component", "id").alias("component"))
     several = named.groupBy("key").agg(F.min("component").alias("low"),
                                        F.max("component").alias("high"))
     return named.join(several.where(F.col("low") != F.col("high")).select("key"), "key")
 
 
 def linked_sets(documents: DataFrame, size: int, percent: int, folder: str, turn: int,
-                nodes: DataFrame, survey_rows: DataFrame, hot_size: int, rounds: int) -> DataFrame:
+                nodes: DataFrame, survey_rows: DataFrame, hot_size: int, rounds: int,
+                leaders: int) -> DataFrame:
     """(id, component) of the sets that link with another."""
     spark = documents.sparkSession
     often = survey_rows.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(
@@ -328,33 +362,100 @@ def linked_sets(documents: DataFrame, size: int, percent: int, folder: str, turn
     hot = spark.sparkContext.broadcast({"shingle": names[order], "rank": ranks[order]})
     limit = boundary(size_histogram(nodes), repeated / max(totals, 1), percent)
     rows = bucket_rows(documents, size, percent, limit, turn, hot)
-    members = written(shared_buckets(rows), f"{folder}/buckets")
-    sets = written(needed_sets(documents, size, turn, members.select("id").distinct()),
+    buckets = written(shared_buckets(rows), f"{folder}/buckets")
+    pairs = written(small_pairs(buckets, percent), f"{folder}/pairs")
+    members = buckets.where("large").select("key", "id", "n")
+    members = members.join(members.groupBy("id").agg(F.count("*").alias("central")), "id")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(
+        pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
+    sets = written(needed_sets(documents, size, turn, written(ids, f"{folder}/ids")),
                    f"{folder}/sets")
-    labels = spark.createDataFrame([], "id long, component long")
-    links = None
+    links = Links(spark, sets, percent, folder)
+    # Candidates of small buckets: every set with its smallest partner, then what stays apart.
     for turn in range(rounds + 1):
-        still = written(_open(members, labels), f"{folder}/open-{turn}")
+        if turn:
+            pairs = links.apart(pairs)
+            if pairs.isEmpty():
+                break
+        if turn < rounds:
+            chosen = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            links.add(chosen)
+            pairs = pairs.join(chosen, ["a", "b"], "left_anti")
+        else:
+            links.add(pairs)
+    # Large buckets: a few members lead, then what stays apart meets pair by pair.
+    for turn in range(leaders + 1):
+        still = written(_open(members, links.labels), f"{folder}/open-{turn}")
         if still.isEmpty():
             break
-        if turn < rounds:
-            pairs, members = _led(still, turn, percent)
+        if turn < leaders:
+            led, members = _led(still, turn, percent)
+            links.add(led)
         else:
-            one = still.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"),
-                               F.col("component").alias("c_a"))
-            other = still.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"),
-                                 F.col("component").alias("c_b"))
-            pairs = one.join(other, "key").where(
-                (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                & fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-        found = written(verified(pairs, sets, percent), f"{folder}/links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, f"{folder}/components-{turn}")
-    return labels
+            links.add(_remaining(still, buckets, percent))
+    return links.labels
+
+
+def _remaining(still: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in large buckets, each at the first list that both are on.
+
+    Past the prefix that ends first, a pair shares no more than the longer of the two rests. So the
+    lists that both are on, and places in small buckets, have to make up for the difference.
+    """
+    lists = buckets.groupBy("id").agg(
+        F.collect_set(F.when(F.col("large") & (F.col("place") > 0), F.col("key"))).alias("lists"),
+        F.count_if(~F.col("large") & (F.col("place") > 0)).alias("small"))
+    rows = still.join(lists, "id")
+
+    def side(name):
+        return rows.select("key", F.col("id").alias(name), F.col("n").alias(f"n_{name}"),
+                           F.col("component").alias(f"c_{name}"), F.col("lists").alias(f"l_{name}"),
+                           F.col("small").alias(f"s_{name}"))
+
+    def rest(n):
+        return F.ceil(F.col(n) * percent / F.lit(100.0) - 1e-9) - 1
+
+    both = F.array_intersect("l_a", "l_b")
+    listed = F.array_contains("l_a", F.col("key")) & F.array_contains("l_b", F.col("key"))
+    enough = (F.size(both) + F.least("s_a", "s_b") + F.greatest(rest("n_a"), rest("n_b"))
+              >= shared_least(F.col("n_a"), F.col("n_b"), percent))
+    return side("a").join(side("b"), "key").where(
+        (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+        & fits(F.col("n_a"), F.col("n_b"), percent)
+        & (~listed | ((F.array_min(both) == F.col("key")) & enough))).select("a", "b").distinct()
+
+
+class Links:
+    """Verified links, as tables, and the components they make so far."""
+
+    def __init__(self, spark, sets: DataFrame, percent: int, folder: str):
+        self.sets, self.percent, self.folder = sets, percent, folder
+        self.labels = spark.createDataFrame([], "id long, component long")
+        self.tables: list[DataFrame] = []
+
+    def add(self, pairs: DataFrame) -> None:
+        n = len(self.tables)
+        self.tables.append(written(verified(pairs, self.sets, self.percent),
+                                   f"{self.folder}/links-{n}"))
+        if not self.tables[-1].isEmpty():
+            # Earlier links are stood for by the stars of their components.
+            stars = self.labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            self.labels = components(self.tables[-1].unionByName(stars),
+                                     f"{self.folder}/components-{n}")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are not connected yet."""
+        def named(side):
+            return self.labels.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+        return written(
+            pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where(
+                F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"),
+            f"{self.folder}/apart-{len(self.tables)}")
 
 
 def ngram_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
-                     hot_size: int = HOT_SIZE, rounds: int = ROUNDS) -> DataFrame:
+                     hot_size: int = HOT_SIZE, rounds: int = ROUNDS,
+                     leaders: int = LEADERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = documents.sparkSession
     prepare_workers(spark)
@@ -364,7 +465,7 @@ def ngram_components(documents: DataFrame, size: int = SHINGLE, percent: int = P
     nodes = docs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     turn = distinct_turn(nodes)
     labels = linked_sets(documents.where(F.col("doc_id").isNotNull()), size, percent, folder, turn,
-                         nodes, rows, hot_size, rounds)
+                         nodes, rows, hot_size, rounds, leaders)
     placed = (docs.withColumn("id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(),
                                            node_id(turn)))
               .join(labels, "id", "left")
