@@ -55,6 +55,27 @@ def test_folded_weights_give_the_kernel_expansion():
     assert top == pytest.approx([want[[3, 4]].max(), -2, -2, want[[0, 2]].max(), -2], abs=1e-5)
 
 
+def test_texts_score_alike_alone_and_in_any_batch():
+    import numpy as np
+    weights = np.zeros(toxicity.CLASSES ** 3)
+    for code, value in toxicity.features("scoundrel").items():
+        weights[code] += value
+    model = toxicity.Model(weights.astype(np.float32), -0.5, (4.0, 1.0, -0.1, -1.0))
+    texts = ["a mild day", "scoundrel he said", "scoundrel", "", None, "   ", "scoundrel", "fine  \n ",
+             "sc-oundrels all", "he is a s", "c o u n d r e l", "\n\nscoundrel", "x", "1 2", "",
+             "s c o u n d r e l", "\U0001F600 é", "the end"]
+    alone = np.concatenate([model.text_values([t]) for t in texts])
+    assert (alone[[1, 2, 6, 11, 15], 0] > 0).all()
+    assert alone[[0, 3, 4, 5, 7, 12, 13, 17], 0].max() < 0
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        order = rng.permutation(len(texts))
+        batch = [texts[i] for i in order]
+        assert (model.text_values(batch) == alone[order]).all()
+        assert (model.probabilities(batch) == np.concatenate(
+            [model.probabilities([t]) for t in batch])).all()
+
+
 def test_token_counts_equal_the_library(spark):
     folder = f"{DATA}/sf0.01"
     encoder = token_counts.load_encoder(queries.TOKENIZER)

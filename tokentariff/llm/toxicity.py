@@ -71,11 +71,19 @@ TABLE = _class_table()
 
 
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Letter classes of a text, words parted by 0, and the code point each one came from.
+    """Letter classes of a text, words parted by 0, and the place in the text, padded by one blank,
+    that each one came from.
 
     Every word begins with the mark; single letters in a row are joined.
     """
-    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return letters_of([text])[:2]
+
+
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all texts in a row, each text's as if it were alone, with their places in the
+    padded texts in a row, and the number of the text that each one belongs to."""
+    padded = "".join(f" {text} " for text in texts)
+    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     classes = np.full(len(points), 27, dtype=np.uint8)
     low = points < len(TABLE)
     classes[low] = TABLE[points[low]]
@@ -83,19 +91,28 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     classes[high] = 27 + points[high] % 36
     kept = np.flatnonzero(classes != DROPPED)
     classes = classes[kept]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32),
+                      np.array([len(t) + 2 for t in texts], dtype=np.int64))[kept]
     blank = classes == BLANK
-    # One blank between words.
+    # One blank between words; the two between texts stay.
     once = np.ones(len(classes), dtype=bool)
-    once[1:] = ~(blank[1:] & blank[:-1])
-    classes, kept, blank = classes[once], kept[once], blank[once]
+    once[1:] = ~(blank[1:] & blank[:-1] & (owner[1:] == owner[:-1]))
+    classes, kept, owner, blank = classes[once], kept[once], owner[once], blank[once]
     if len(classes) > 4:
         single = np.zeros(len(classes), dtype=bool)
         single[1:-1] = ~blank[1:-1] & blank[:-2] & blank[2:]
         between = np.zeros(len(classes), dtype=bool)
         between[1:-1] = blank[1:-1] & single[:-2] & single[2:]
-        classes, kept, blank = classes[~between], kept[~between], blank[~between]
-    starts = np.flatnonzero(blank[:-1])
-    return np.insert(classes, starts + 1, MARK), np.insert(kept, starts + 1, kept[starts])
+        classes, kept, owner, blank = (
+            classes[~between], kept[~between], owner[~between], blank[~between])
+    starts = np.flatnonzero(blank[:-1] & (owner[1:] == owner[:-1]))
+    out = (np.insert(classes, starts + 1, MARK), np.insert(kept, starts + 1, kept[starts]),
+           np.insert(owner, starts + 1, owner[starts]))
+    # A text's leading blank goes, so that its words' sums don't depend on the text before it.
+    inner = np.ones(len(out[0]), dtype=bool)
+    inner[:-1] = ~((out[0][:-1] == BLANK) & (out[0][1:] == MARK)
+                   & np.append(True, out[2][1:-1] != out[2][:-2]))
+    return out[0][inner], out[1][inner], out[2][inner]
 
 
 def length_norms(longest: int = 64) -> np.ndarray:
@@ -204,12 +221,11 @@ class Model:
         of its words with a value of ``NEAR`` or more; and log(1 + n) of all its words."""
         found = np.zeros((len(texts), 3))
         found[:, 0] = -2.0
-        ends = np.cumsum([len(t or "") + 1 for t in texts])
-        classes, kept = letters("\n".join(t or "" for t in texts))
+        classes, _, owner = letters_of([t or "" for t in texts])
         values, starts = word_scores(classes, self.weights)
         if len(values):
             values = values + self.bias
-            text = np.searchsorted(ends, kept[starts] - 1, side="right")
+            text = owner[starts]
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
             found[text[first], 0] = np.maximum(np.maximum.reduceat(values, first), -2.0)
             found[:, 1] = np.log1p(np.bincount(text[values >= NEAR], minlength=len(texts)))
@@ -226,8 +242,11 @@ class Model:
             group.append(text)
             size += len(text or "")
         out.append(self.text_values(group) if group else np.empty((0, 3)))
+        found = np.concatenate(out)
         *slopes, level = self.curve
-        return 1 / (1 + np.exp(-np.clip(np.concatenate(out) @ np.array(slopes) + level, -30, 30)))
+        # Column by column: a product of matrices may round a row by the rows beside it.
+        total = sum((slope * found[:, i] for i, slope in enumerate(slopes)), np.full(len(found), level))
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def _words(text: str) -> list[str]:
