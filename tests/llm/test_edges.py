@@ -246,5 +246,18 @@ def test_html_template_words_are_left_out(spark):
     assert joined == got
 
 
+def test_html_copies_of_a_page_are_no_template(spark):
+    """One half of a host is one page under many ids: it counts once, and keeps its own text."""
+    page = ("<html><body><div id=top>Menu words</div><main><h1>Title {0}</h1><div class=box><p>Read "
+            "all about it here</p></div><section>Story {0}</section></main></body></html>")
+    html = [page.format("copied")] * 12 + [page.format(i) for i in range(12)]
+    pages = spark.createDataFrame(
+        [(i, "http://h.example/x", h) for i, h in enumerate(html)], PAGES).repartition(5)
+    got = {r.page_id: r.text for r in html_templates.extract_text(pages).collect()}
+    assert got == {i: f"Title {'copied' if i < 12 else i - 12}\n\nStory "
+                      f"{'copied' if i < 12 else i - 12}" for i in range(24)}
+    assert {r.pages for r in html_templates.host_templates(pages).collect()} == {13}
+
+
 def test_extra_names_are_listed():
     assert set(CLASHING) & {"n_words", "score", "key"} and DOCUMENTS

@@ -14,8 +14,8 @@ scripts, styles, comments).
 The template of a host is at most a few times an average page. Templates are joined to the pages by
 host, broadcast only if they have ``broadcast_tokens`` tokens at most in all.
 
-Null and empty pages have an empty text. A null URL has the empty host. Repeated page ids count as
-one page in vectors; results are per row.
+Null and empty pages have an empty text. A null URL has the empty host. Pages of a host with the same
+HTML, whatever their ids, count as one page in vectors and numbers of pages; results are per row.
 """
 
 from __future__ import annotations
@@ -35,8 +35,21 @@ BROADCAST_TOKENS = 200_000
 LINKED = 0.5
 
 
+def page_contents(pages: DataFrame) -> DataFrame:
+    """(host, digest, html) of every row."""
+    return pages.select(url_host(F.col("url")).alias("host"),
+                        F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("digest"), "html")
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, html): one row for all pages of a host that have the same HTML. Tasks drop
+    their own copies before the shuffle, so a large group of copies brings one row a task."""
+    return page_contents(pages).groupBy("host", "digest").agg(F.first("html").alias("html")).select(
+        "host", F.xxhash64("digest").alias("page"), "html")
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, parent, text, n): every distinct token of every page."""
+    """(host, page, token, parent, text, n): every distinct token of every distinct page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -55,9 +68,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 rows += map(tuple, texts.values())
             yield pd.DataFrame(rows, columns=["host", "page", "token", "parent", "text", "n"])
 
-    keyed = pages.select(url_host(F.col("url")).alias("host"),
-                         F.xxhash64("page_id").alias("page"), "html")
-    return keyed.mapInPandas(
+    return distinct_pages(pages).mapInPandas(
         run, "host string, page long, token long, parent long, text boolean, n int")
 
 
@@ -65,11 +76,11 @@ def host_templates(pages: DataFrame, least_pages: int = LEAST_PAGES,
                    least_percent: int = LEAST_PERCENT) -> DataFrame:
     """(host, token, parent, text, class, parent_class, pages) of the tokens of valid classes."""
     tokens = page_tokens(pages)
-    # Repeated rows of a page have equal vectors there, so the least of them stands for the page.
     vectors = tokens.groupBy("host", "token").agg(
         F.first("parent").alias("parent"), F.first("text").alias("text"),
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
-    sizes = pages.groupBy(url_host(F.col("url")).alias("host")).agg(F.count("*").alias("all_pages"))
+    sizes = page_contents(pages).select("host", "digest").distinct().groupBy("host").agg(
+        F.count("*").alias("all_pages"))
     often = vectors.where(F.col("pages") >= least_pages).join(sizes, "host").where(
         F.col("pages") * 100 >= F.col("all_pages") * least_percent)
     members = Window.partitionBy("host", "pages", "vector")
