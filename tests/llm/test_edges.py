@@ -37,6 +37,21 @@ def test_quality_rules(edges, clashing, nothing):
     assert quality_rules.quality_rules(nothing).collect() == []
 
 
+def test_quality_rules_return_texts_without_frequent_lines(edges, clashing):
+    """Lines of more than ``limit`` documents of the source leave the text; others stay as they are."""
+    before = {(r[0], r[1], r[3]) for r in edge_rows()}
+    got = quality_rules.quality_rules(edges, limit=5)
+    after = {(r.doc_id, r.text, r.source) for r in got.collect()}
+    assert after == {(i, f"own line {i - 20}" if i is not None and i >= 20 else t, s)
+                     for i, t, s in before}
+    assert rows(quality_rules.quality_rules(clashing, limit=5).select("doc_id", "text", "kept")) \
+        == rows(got.select("doc_id", "text", "kept"))
+    left = {r.doc_id: r.chars_left_percent for r in got.where("doc_id >= 20").collect()}
+    whole = {r[0]: [len(line.strip()) for line in r[1].split("\n")] for r in edge_rows()
+             if r[0] is not None and r[0] >= 20}
+    assert left == {i: 100 * n[1] / sum(n) for i, n in whole.items()}
+
+
 def test_repeated_words_of_colliding_hashes(spark, monkeypatch):
     """With all hash bits gone every neighbour is compared, and the exact way has to serve."""
     monkeypatch.setattr(quality_rules, "HASH", 0)

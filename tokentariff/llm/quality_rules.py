@@ -3,8 +3,9 @@
 Every line is normalised (blanks at the ends cut, lower-cased) and hashed; the hashes are written to
 the shared folder once. For every host the distinct documents that hold a line are counted; exact
 copies of a text count as one document, since copies are for deduplication to remove. Lines found
-in more than ``limit`` documents of their host are removed, and a document is depleted, and
-rejected, if fewer than ``least_left`` percent of its normalised characters remain.
+in more than ``limit`` distinct texts of their host are removed from the text that is returned, and a
+document is depleted, and rejected, if fewer than ``least_left`` percent of its normalised
+characters remain in it.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own.
 Repeated rows get equal results. A line or host of very many rows is summed in two steps.
@@ -23,6 +24,8 @@ LIMIT = 10
 LEAST_LEFT = 50
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
+QUALITY = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+           "chars_left_percent", "depleted", "kept")
 
 
 def words_in(text: Column) -> Column:
@@ -101,49 +104,65 @@ def normal_line(line: Column) -> Column:
 
 
 def host_lines(documents: DataFrame, host: str) -> DataFrame:
-    """(doc, text_id, host, hash, chars) of every line that isn't blank."""
+    """(doc, text_id, host, place, hash) of every line that isn't blank."""
     return (documents.select(
         F.col("doc_id").alias("doc"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"),
-        F.col(host).alias("host"), F.explode(F.split("text", "\n", -1)).alias("line"))
-        .select("doc", "text_id", "host", normal_line(F.col("line")).alias("line"))
+        F.col(host).alias("host"),
+        F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+        .select("doc", "text_id", "host", "place", normal_line(F.col("line")).alias("line"))
         .where(F.col("line") != "")
-        .select("doc", "text_id", "host", F.unhex(F.md5("line")).alias("hash"),
-                F.length("line").cast("long").alias("chars")))
+        .select("doc", "text_id", "host", "place", F.unhex(F.md5("line")).alias("hash")))
 
 
 def frequent_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(_host, _hash) of the lines found in more than ``limit`` distinct documents of the host."""
+    """(_host, _hash) of the lines found in more than ``limit`` distinct texts of the host."""
     once = lines.groupBy("host", "hash", "text_id").agg(F.lit(1).alias("one"))
     return (once.groupBy("host", "hash").agg(F.sum("one").alias("n_docs"))
             .where(F.col("n_docs") > limit)
             .select(F.col("host").alias("_host"), F.col("hash").alias("_hash")))
 
 
+def line_chars(lines: Column) -> Column:
+    """Characters of all lines, normalised."""
+    return F.aggregate(lines, F.lit(0).cast("long"),
+                       lambda total, line: total + F.length(normal_line(line)))
+
+
 def quality_rules(documents: DataFrame, host: str = "source", limit: int = LIMIT,
                   least_left: int = LEAST_LEFT) -> DataFrame:
-    """All columns but the text, with the base statistics, chars_left_percent, depleted and kept."""
-    columns = [c for c in documents.columns if c != "text"]
+    """All columns, ``text`` without the frequent lines, with the base statistics of the text as it
+    was, chars_left_percent, depleted and kept. A text that loses no line stays as it is."""
+    columns = documents.columns
     needed = tuple(dict.fromkeys(("doc_id", "text", host)))
     documents = packed(documents, *needed)
     lines = written(host_lines(documents, host), work_folder(documents.sparkSession, "lines"))
     often = frequent_lines(lines, limit)
-    gone = F.when(F.col("_hash").isNotNull(), F.col("chars")).otherwise(0)
-    # Sums run over all rows of the same id, host and text, so repeated rows keep the ratio.
-    left = (lines.join(often, F.col("host").eqNullSafe(F.col("_host"))
-                       & (F.col("hash") == F.col("_hash")), "left")
+    # Rows of the same id, host and text have the same places.
+    gone = (lines.join(often, F.col("host").eqNullSafe(F.col("_host"))
+                       & (F.col("hash") == F.col("_hash")))
             .groupBy(F.col("doc").alias("_doc"), F.col("text_id").alias("_text"),
                      F.col("host").alias("_of"))
-            .agg(F.sum("chars").alias("_chars"), F.sum(gone).alias("_gone"))
-            .where(F.col("_gone") > 0)
-            .select("_doc", "_text", "_of", (100.0 * (F.col("_chars") - F.col("_gone"))
-                                             / F.col("_chars")).alias("_percent")))
-    base = base_rules(documents.withColumn(
-        "_md5", F.unhex(F.md5(F.coalesce("text", F.lit(""))))))
-    judged = base.join(
-        left, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_md5") == F.col("_text"))
-        & F.col(f"`{host}`").eqNullSafe(F.col("_of")), "left")
-    percent = F.coalesce("_percent", F.lit(100.0))
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return judged.select(*unpacked(
-        columns, needed, **{c: F.col(c) for c in made}, chars_left_percent=percent,
-        depleted=percent < least_left, kept=~F.col("base_failed") & (percent >= least_left)))
+            .agg(F.sort_array(F.collect_set("place")).alias("_places")))
+    base = base_rules(documents.withColumns({
+        "_md5": F.unhex(F.md5(F.coalesce("text", F.lit("")))), "_whole": F.col("text")}))
+    cut = base.join(
+        gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_md5") == F.col("_text"))
+        & F.col(f"`{host}`").eqNullSafe(F.col("_of")), "left").withColumn(
+        "_lines", F.when(F.col("_places").isNotNull(), F.split("_whole", "\n", -1)))
+    # The kept lines lie between the places; -1 and the number of lines close both ends.
+    ends = F.concat(F.array(F.lit(-1)), F.col("_places"), F.array(F.size("_lines")))
+    kept_lines = let(ends, lambda at: F.flatten(F.transform(
+        F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.slice(
+            F.col("_lines"), F.get(at, k - 1) + 2, F.get(at, k) - F.get(at, k - 1) - 1))))
+    cleaned = cut.withColumn("_kept", F.when(F.col("_places").isNotNull(), kept_lines)).withColumn(
+        "_percent", F.when(F.col("_places").isNotNull(), 100.0 * line_chars(F.col("_kept"))
+                           / line_chars(F.col("_lines"))).otherwise(100.0))
+    text = F.when(F.col("_places").isNotNull(), F.array_join("_kept", "\n")).otherwise(
+        F.col("_whole"))
+    percent = F.col("_percent")
+    before = [text.alias(c) if c == "text" else column for c, column in zip(
+        [c for c in columns if c.lower() not in QUALITY], unpacked(
+            columns, needed, **{c: F.lit(None) for c in QUALITY}))]
+    return cleaned.select(*before, *[F.col(c) for c in QUALITY[:6]], percent.alias("chars_left_percent"),
+                          (percent < least_left).alias("depleted"),
+                          (~F.col("base_failed") & (percent >= least_left)).alias("kept"))
