@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentariff.llm import (decontamination, html_templates, line_runs, mixing, ngram_join,
-                             quality_rules, token_counts, toxicity, url_templates, warc)
+                             quality_rules, source_divergence, token_counts, toxicity,
+                             url_templates, warc)
 from tokentariff.llm.text import work_folder
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -75,10 +76,14 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontamination, op3_warc, op4_toxicity, op5_html, op6_ngram_join,
-        op7_url_filter, op8_mixing, op9_line_dedup, op10_token_counts)}
+        op7_url_filter, op8_mixing, op9_line_dedup, op10_token_counts, op12_source_divergence)}
 
 
 # --------------------------------------------------------------------------------------------
@@ -293,6 +298,40 @@ SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 
+SOURCE_DIVERGENCE = f"""
+WITH docs AS (SELECT ROW_NUMBER() OVER () AS doc, COALESCE(lang, '') AS lang,
+                     COALESCE(source, '') AS source, COALESCE(text, '') AS text FROM documents),
+words AS (SELECT doc, lang, source, UNNEST(list_filter(regexp_split_to_array(
+            {LOWERED.format('text')}, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+          FROM docs),
+kept AS (SELECT lang, term, COUNT(*) AS n FROM words GROUP BY lang, term
+         HAVING COUNT(DISTINCT doc) >= {source_divergence.LEAST_DOCS}),
+langs AS (SELECT lang, COUNT(*) AS v, SUM(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, COUNT(*) AS n FROM words JOIN kept USING (lang, term)
+           GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, SUM(n) AS total FROM counts GROUP BY lang, source),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+shares AS (
+  SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (COALESCE(c.n, 0) + 1)) // (COALESCE(s.total, 0) + l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+         GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+          FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY_RULES,
@@ -302,4 +341,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": URL_FILTER,
         "op8_mixing": MIXING,
         "op9_line_dedup": LINE_DEDUP,
+        "op12_source_divergence": SOURCE_DIVERGENCE,
     }
