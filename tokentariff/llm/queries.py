@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentariff.llm import (decontamination, html_templates, line_runs, mixing, ngram_join,
-                             quality_rules, source_divergence, token_counts, toxicity,
-                             url_templates, warc)
+from tokentariff.llm import (decontamination, hard_negatives, html_templates, line_runs, mixing,
+                             ngram_join, pivot_index, quality_rules, source_divergence,
+                             token_counts, toxicity, url_templates, warc)
 from tokentariff.llm.text import work_folder
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -76,14 +76,25 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), moved)
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_index.exact_top_k(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontamination, op3_warc, op4_toxicity, op5_html, op6_ngram_join,
-        op7_url_filter, op8_mixing, op9_line_dedup, op10_token_counts, op12_source_divergence)}
+        op7_url_filter, op8_mixing, op9_line_dedup, op10_token_counts,
+        op11_hard_negatives, op12_source_divergence, op13_exact_top_k)}
 
 
 # --------------------------------------------------------------------------------------------
@@ -332,6 +343,43 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}"""
 
 
+WHOLE_VECTORS = """
+WITH vectors AS (
+  SELECT ROW_NUMBER() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+HARD_NEGATIVES = WHOLE_VECTORS + """,
+labelled AS (
+  SELECT r, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM vectors WHERE label IS NOT NULL),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id,
+         a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM labelled a JOIN labelled b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor ORDER BY score DESC, other_id, other) <= 5),
+windows AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score,
+         n.score AS negative_score, ROW_NUMBER() OVER (
+           PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other_id, n.other) AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM windows WHERE rank <= 5"""
+
+EXACT_TOP_K = WHOLE_VECTORS + """,
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS rank FROM scored)
+WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY_RULES,
@@ -341,5 +389,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": URL_FILTER,
         "op8_mixing": MIXING,
         "op9_line_dedup": LINE_DEDUP,
+        "op11_hard_negatives": HARD_NEGATIVES,
         "op12_source_divergence": SOURCE_DIVERGENCE,
+        "op13_exact_top_k": EXACT_TOP_K,
     }
