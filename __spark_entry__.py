@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 import tokentariff as tt
 from tokentariff.sources import kept
-from tokentariff.sources.samples import (conversation_pieces, conversation_sessions,
-                                         conversation_turns, order_sessions)
+from tokentariff.sources.samples import (conversation_calls, conversation_pieces,
+                                         conversation_sessions, conversation_turns, event_calls,
+                                         event_work, order_sessions, symbol_scores)
 
 SUPPLIED_THRESHOLD, SUPPLIED_ALPHA = 400, 0.10
+IDLE, PAUSE, USD_PER_HOUR = 6 * 3_600, 4 * 3_600, 60.0
 NUDGE = 3.1e-11
 PARTS = ("oh_gen", "oh_write", "oh_reread")
 DOLLARS = ("split_cost", "oh_total", "saved")
@@ -55,6 +57,12 @@ def _nine(frame: DataFrame, keep: tuple = ()) -> DataFrame:
     return _rounded(frame, 9, keep, NUDGE)
 
 
+def _nine_of(frame: DataFrame, *names: str) -> DataFrame:
+    """Nine digits of the named columns without the detour of ``round`` through decimals."""
+    return frame.withColumns({
+        name: F.floor((F.col(name) + NUDGE) * 1e9 + 0.5) / 1e9 for name in names})
+
+
 def _partial_rates(spark: SparkSession) -> DataFrame:
     kinds = ", ".join(f"{name} double" for name in tt.RateCard._fields)
     return spark.createDataFrame(PARTIAL_RATES, f"agent string, {kinds}")
@@ -110,6 +118,18 @@ def _distribution(spark: SparkSession, folder: str) -> DataFrame:
         return _rounded(tt.chunk_distribution(chunks), keep=("p10", "p50", "p90", "max_cost"))
 
 
+def _ranks(compact: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark, folder):
+        return tt.piece_ranks(tt.chunk_prices(
+            _sessions(spark, folder), [100_000, 150_000], compact=compact))
+    return query
+
+
+def _session_time(spark: SparkSession, folder: str) -> DataFrame:
+    return tt.session_time(event_work(spark, folder), F.col("human"), F.col("ts"), F.col("ended"),
+                           PAUSE, USD_PER_HOUR)
+
+
 def _training_data():
     """The queries and SQL of the training-data operators, where they are installed."""
     try:
@@ -126,14 +146,15 @@ def _training_data():
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     deterministic = ("alpha", "oh_gen", "oh_write")
+    # The SQL adds these up piece by piece; all else has the same bits.
+    summed = ("split_cost", "saved", "oh_total", "oh_reread")
     return {
         **_training_data()[0],
         "load_sessions": _sessions,
         "session_cost": lambda s, f: tt.session_cost(_sessions(s, f)),
         "corpus_baseline": lambda s, f: _rounded(
             tt.corpus_baseline(tt.session_cost(_sessions(s, f)))),
-        "session_split": lambda s, f: _nine(
-            tt.session_split(_sessions(s, f)), keep=("peak",)),
+        "session_split": lambda s, f: _nine_of(tt.session_split(_sessions(s, f)), *summed),
         "split_grid": lambda s, f: _rounded(_grid(s, f), keep=deterministic),
         "savings_table": lambda s, f: _rounded(tt.savings_table(_grid(s, f))),
         "overhead_breakdown": lambda s, f: _rounded(
@@ -150,14 +171,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "supplied_piece_prices": lambda s, f: _nine(_supplied_pieces(s, f)),
         "supplied_distribution": _supplied_distribution,
         "supplied_chunks_parts": _supplied_parts,
-        "rates_by_agent_session_split": lambda s, f: _nine(
-            tt.session_split(_sessions(s, f), rates=_partial_rates(s)), keep=("peak",)),
+        "rates_by_agent_session_split": lambda s, f: _nine_of(
+            tt.session_split(_sessions(s, f), rates=_partial_rates(s)), *summed),
         "rates_by_agent_chunk_prices": lambda s, f: _nine(
             tt.chunk_prices(_sessions(s, f), 100_000, rates=_partial_rates(s))),
         "rates_by_agent_supplied": _rates_supplied,
         "rates_by_agent_session_cost": lambda s, f: tt.session_cost(_sessions(s, f), _rates(s)),
         "rates_by_agent_split_grid": lambda s, f: _rounded(
             tt.split_grid(_sessions(s, f), rates=_rates(s))),
+        "sessions_from_calls": lambda s, f: tt.sessions_from_calls(
+            conversation_calls(conversation_turns(s, f))),
+        "session_runs_from_calls": lambda s, f: tt.sessions_from_calls(
+            event_calls(s, f), IDLE).withColumns({
+                name: F.unix_micros(name) for name in ("started", "ended")}),
+        "turn_replies": lambda s, f: tt.turn_replies(s.read.parquet(f"{f}/conversations.parquet")),
+        "session_time": _session_time,
+        "detector_curve": lambda s, f: tt.detector_curve(symbol_scores(s, f)),
+        "detector_summary": lambda s, f: _rounded(
+            tt.detector_summary(tt.detector_curve(symbol_scores(s, f))), 9, ("best_threshold",)),
+        "piece_ranks": _ranks(compact=False),
+        "piece_ranks_compact": _ranks(compact=True),
     }
 
 
@@ -329,9 +362,10 @@ PIECE_ROWS = ",".join(["WITH" + ORDER_SESSIONS, ONE_RATE, SHAPES.format(threshol
                        PIECES, PIECE_CHUNKS])
 SESSION_SPLIT = """
 SELECT session_id, threshold, alpha, peak, k,
-       ROUND(split_cost + 3.1e-11, 9) AS split_cost, ROUND(saved + 3.1e-11, 9) AS saved,
-       ROUND(oh_total + 3.1e-11, 9) AS oh_total, ROUND(oh_gen + 3.1e-11, 9) AS oh_gen,
-       ROUND(oh_write + 3.1e-11, 9) AS oh_write, ROUND(oh_reread + 3.1e-11, 9) AS oh_reread
+       FLOOR((split_cost + 3.1e-11) * 1e9 + 0.5e0) / 1e9 AS split_cost,
+       FLOOR((saved + 3.1e-11) * 1e9 + 0.5e0) / 1e9 AS saved,
+       FLOOR((oh_total + 3.1e-11) * 1e9 + 0.5e0) / 1e9 AS oh_total, oh_gen, oh_write,
+       FLOOR((oh_reread + 3.1e-11) * 1e9 + 0.5e0) / 1e9 AS oh_reread
 FROM splits"""
 
 TURNS = """
@@ -407,6 +441,112 @@ piece_costs AS (
                   END AS cost FROM owned)"""
 
 
+SESSIONS_FROM_CALLS = TURNS.split("heights AS")[0].rstrip().rstrip(",") + """
+SELECT conv_id AS session_id, 'Claude Code' AS agent,
+       CAST(SUM(CASE WHEN role <> 'assistant' THEN tok ELSE 0 END) AS BIGINT) AS input_tokens,
+       CAST(SUM(CASE WHEN role = 'assistant' THEN tok ELSE 0 END) AS BIGINT) AS output_tokens,
+       CAST(SUM(tok) AS BIGINT) AS cache_creation_tokens,
+       CAST(SUM(CASE WHEN role = 'assistant' THEN ctx ELSE 0 END) AS BIGINT) AS cache_read_tokens,
+       COUNT(*) FILTER (role = 'assistant') AS api_call_count
+FROM turns GROUP BY conv_id"""
+
+SESSION_RUNS = f"""
+WITH calls AS (
+  SELECT user_id AS session_id, ts, event_id,
+         CASE WHEN event_id % 5 <> 0 THEN 'agent-' || event_type END AS agent,
+         CAST(FLOOR(value * 100) AS BIGINT) AS tokens FROM events),
+opened AS (
+  SELECT *, COALESCE(epoch_us(ts) - epoch_us(LAG(ts) OVER (PARTITION BY session_id ORDER BY ts))
+                     > {IDLE}::BIGINT * 1000000, TRUE) AS opens FROM calls),
+numbered AS (SELECT *, COUNT(*) FILTER (opens) OVER (PARTITION BY session_id ORDER BY ts) AS run
+             FROM opened)
+SELECT session_id, epoch_us(MIN(ts)) AS started, epoch_us(MAX(ts)) AS ended,
+       ARG_MIN(agent, ts) FILTER (agent IS NOT NULL) AS agent,
+       CAST(COALESCE(SUM(tokens) FILTER (event_id % 7 <> 0), 0) AS BIGINT) AS input_tokens,
+       CAST(SUM(tokens) * 2 AS BIGINT) AS output_tokens,
+       CAST(SUM(tokens) AS BIGINT) AS cache_creation_tokens,
+       CAST(SUM(tokens) * 9 AS BIGINT) AS cache_read_tokens, COUNT(*) AS api_call_count
+FROM numbered GROUP BY session_id, run"""
+
+TURN_REPLIES = """
+WITH following AS (
+  SELECT conv_id, turn, role, text,
+         LEAD(role) OVER following AS next_role, LEAD(turn) OVER following AS next_turn,
+         LEAD(text) OVER following AS next_text
+  FROM conversations WHERE role IN ('assistant', 'user')
+  WINDOW following AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, text, CASE WHEN next_role = 'user' THEN next_turn END AS reply_turn,
+       CASE WHEN next_role = 'user' THEN next_text END AS reply
+FROM following WHERE role = 'assistant'"""
+
+SESSION_TIME = f"""
+WITH work AS (
+  SELECT user_id AS session_id, event_type IN ('click', 'view') AS human, epoch_us(ts) AS started,
+         CASE WHEN event_type IN ('click', 'view') THEN epoch_us(ts)
+              ELSE epoch_us(ts) + CAST(FLOOR(value * 60000000) AS BIGINT) END AS ended,
+         CASE WHEN event_type IN ('click', 'view') THEN {PAUSE}::BIGINT * 1000000 ELSE 0 END AS pause
+  FROM events),
+opened AS (
+  SELECT *, COALESCE(started - MAX(ended) OVER (
+              PARTITION BY session_id, human ORDER BY started, ended
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > pause, TRUE) AS opens FROM work),
+numbered AS (
+  SELECT *, COUNT(*) FILTER (opens) OVER (PARTITION BY session_id, human ORDER BY started, ended
+                                          ROWS UNBOUNDED PRECEDING) AS run FROM opened),
+runs AS (SELECT session_id, human, run, COUNT(*) AS n, MAX(ended) - MIN(started) AS micros
+         FROM numbered GROUP BY session_id, human, run),
+totals AS (
+  SELECT session_id,
+         CAST(COALESCE(SUM(n) FILTER (human), 0) AS BIGINT) AS attention_events,
+         COUNT(*) FILTER (human) AS attention_runs,
+         CAST(COALESCE(SUM(n) FILTER (NOT human), 0) AS BIGINT) AS agent_events,
+         COUNT(*) FILTER (NOT human) AS agent_runs,
+         COALESCE(SUM(micros) FILTER (human), 0) / 6e7 AS attention_minutes,
+         COALESCE(SUM(micros) FILTER (NOT human), 0) / 6e7 AS agent_minutes
+  FROM runs GROUP BY session_id)
+SELECT *, attention_minutes / 60e0 * {USD_PER_HOUR}e0 AS attention_usd FROM totals"""
+
+DETECTOR = """
+WITH scored AS (
+  SELECT (length(text) - length(translate(text, '#*$%&|<>', ''))) / CAST(NULLIF(length(text), 0) AS DOUBLE)
+           AS score, 1 - quality AS label
+  FROM documents JOIN labels USING (doc_id)),
+counts AS (SELECT score AS threshold, COUNT(*) FILTER (label = 1) AS positives,
+                  COUNT(*) FILTER (label = 0) AS negatives
+           FROM scored WHERE score IS NOT NULL AND label IN (0, 1) GROUP BY score),
+summed AS (
+  SELECT *, SUM(positives) OVER falling AS tp, SUM(negatives) OVER falling AS fp,
+         SUM(positives) OVER () AS p, SUM(negatives) OVER () AS n
+  FROM counts WINDOW falling AS (ORDER BY threshold DESC)),
+curve AS (
+  SELECT threshold, positives, negatives, CAST(tp AS BIGINT) AS true_positives,
+         CAST(fp AS BIGINT) AS false_positives, CAST(p - tp AS BIGINT) AS false_negatives,
+         CAST(n - fp AS BIGINT) AS true_negatives, CAST(tp AS DOUBLE) / (tp + fp) AS precision,
+         CAST(tp AS DOUBLE) / NULLIF(p, 0) AS recall, CAST(fp AS DOUBLE) / NULLIF(n, 0) AS fall_out
+  FROM summed)"""
+
+DETECTOR_SUMMARY = DETECTOR + """,
+pairs AS (
+  SELECT COUNT(*) FILTER (a.label = 1 AND b.label = 0) AS n,
+         COUNT(*) FILTER (a.label = 1 AND b.label = 0 AND a.score > b.score) AS ordered,
+         COUNT(*) FILTER (a.label = 1 AND b.label = 0 AND a.score = b.score) AS tied
+  FROM scored a, scored b),
+best AS (SELECT threshold, 2e0 * true_positives / (2 * true_positives + false_positives + false_negatives) AS f1
+         FROM curve ORDER BY 2 DESC, 1 DESC LIMIT 1)
+SELECT CAST(SUM(positives) AS BIGINT) AS positives, CAST(SUM(negatives) AS BIGINT) AS negatives,
+       ROUND((SELECT (ordered + tied / 2e0) / n FROM pairs), 9) AS area,
+       ROUND(SUM(precision * positives) / SUM(positives), 9) AS average_precision,
+       (SELECT threshold FROM best) AS best_threshold, ROUND((SELECT f1 FROM best), 9) AS best_f1
+FROM curve"""
+
+PIECE_RANKS = """,
+placed AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY threshold ORDER BY cost, session_id, chunk_idx) - 1 AS rank,
+         COUNT(*) OVER (PARTITION BY threshold) AS n_chunks
+  FROM chunks)
+SELECT session_id, threshold, {row}, rank, n_chunks, 100e0 * rank / n_chunks AS percentile FROM {rows}"""
+
+
 def oracle_sql() -> dict[str, str]:
     partial = ",".join(["WITH" + ORDER_SESSIONS, PARTIAL_BY_AGENT])
     costed = ",".join(["WITH" + ORDER_SESSIONS, ONE_RATE])
@@ -526,6 +666,20 @@ SELECT session_id, k AS n_chunks, ROUND(peak, 4) AS peak,
        ROUND(split_cost, 4) AS split_cost, ROUND(oh_total, 4) AS oh_total,
        ROUND(saved, 4) AS saved, peak > 0 AS heights_ok
 FROM splits WHERE alpha = 0.1e0""",
+        "sessions_from_calls": SESSIONS_FROM_CALLS,
+        "session_runs_from_calls": SESSION_RUNS,
+        "turn_replies": TURN_REPLIES,
+        "session_time": SESSION_TIME,
+        "detector_curve": DETECTOR + "SELECT * FROM curve",
+        "detector_summary": DETECTOR_SUMMARY,
+        "piece_ranks": PIECE_ROWS + PIECE_RANKS.format(
+            row="chunk_idx, height, calls, cost, is_first", rows="placed"),
+        "piece_ranks_compact": PIECE_ROWS + PIECE_RANKS.format(
+            row="chunk_idx, height, calls, cost, is_first, multiplicity", rows="""(
+  SELECT session_id, threshold, MIN(chunk_idx) AS chunk_idx, ANY_VALUE(height) AS height,
+         ANY_VALUE(calls) AS calls, ANY_VALUE(cost) AS cost, is_first, COUNT(*) AS multiplicity,
+         MIN(rank) AS rank, ANY_VALUE(n_chunks) AS n_chunks
+  FROM placed GROUP BY session_id, threshold, is_first, chunk_idx = k - 1)"""),
         "rates_by_agent_session_cost": costed_by_agent + session_cost,
         "rates_by_agent_split_grid": BY_AGENT_GRID + SPLIT_GRID.format(
             gen="ROUND(oh_gen, 4)", wri="ROUND(oh_write, 4)"),

@@ -20,7 +20,8 @@ def _sorted(names, rows):
     return [names[i] for i in order], sorted(table, key=repr)
 
 
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE"}
 
 
 def compare(frame, con, sql):

@@ -83,6 +83,55 @@ def conversation_sessions(pieces: DataFrame) -> DataFrame:
                  F.sum("api_call_count").alias("api_call_count")))
 
 
+def conversation_calls(turns: DataFrame) -> DataFrame:
+    """Transcript rows: assistant turns are the calls, other turns add the tokens they hand in."""
+    reply = F.col("role") == "assistant"
+    return turns.select(
+        F.col("conv_id").alias("session_id"), F.lit("Claude Code").alias("agent"),
+        F.when(~reply, F.col("tok")).alias("input_tokens"),
+        F.when(reply, F.col("tok")).alias("output_tokens"),
+        F.col("tok").alias("cache_creation_tokens"),
+        F.when(reply, F.col("ctx")).alias("cache_read_tokens"), reply.alias("is_call"))
+
+
+def event_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Timed calls: every event of a user is one, of a size that follows its value."""
+    tokens = F.floor(F.col("value") * 100)
+    agent = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("agent-"), F.col("event_type")))
+    return spark.read.parquet(f"{folder}/events.parquet").select(
+        F.col("user_id").alias("session_id"), agent.alias("agent"), _utc("ts").alias("ts"),
+        F.when(F.col("event_id") % 7 != 0, tokens).alias("input_tokens"),
+        (tokens * 2).alias("output_tokens"), tokens.alias("cache_creation_tokens"),
+        (tokens * 9).alias("cache_read_tokens"))
+
+
+def event_work(spark: SparkSession, folder: str) -> DataFrame:
+    """Timed work: clicks and views are a person's, the rest is the agent's and lasts a minute for each
+    unit of its value."""
+    micros = F.unix_micros(_utc("ts")) + F.floor(F.col("value") * 60_000_000)
+    return spark.read.parquet(f"{folder}/events.parquet").select(
+        F.col("user_id").alias("session_id"), _utc("ts").alias("ts"),
+        F.timestamp_micros(micros).alias("ended"),
+        F.col("event_type").isin("click", "view").alias("human"))
+
+
+def symbol_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A simple detector of bad documents, the share of symbols in the text, beside their labels."""
+    text = F.col("text")
+    rest = F.translate(text, "#*$%&|<>", "")
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select(
+        "doc_id", ((F.length(text) - F.length(rest)) / F.nullif(F.length(text), F.lit(0)))
+        .alias("score"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(
+        "doc_id", (1 - F.col("quality")).alias("label"))
+    return documents.join(labels, "doc_id")
+
+
+def _utc(name: str) -> Column:
+    """A timestamp without zone as the moment it names in UTC, in any session's zone."""
+    return F.concat(F.col(name).cast("string"), F.lit("Z")).cast("timestamp")
+
+
 def _nearest(value: Column) -> Column:
     """Nearest whole number of a positive value; ``round`` would go through decimals."""
     return F.floor(value + 0.5)

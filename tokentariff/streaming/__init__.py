@@ -1,3 +1,4 @@
+from .calls import stream_calls, stream_sessions_from_calls
 from .sessions import stream_sessions
 
-__all__ = ["stream_sessions"]
+__all__ = ["stream_calls", "stream_sessions", "stream_sessions_from_calls"]
