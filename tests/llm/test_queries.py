@@ -19,4 +19,4 @@ def test_queries_are_registered():
     import corpus_pipeline
     assert set(llm.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
