@@ -208,6 +208,39 @@ def test_warc(spark, pages, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "c")).collect() == []
 
 
+def test_warc_keeps_payloads_of_large_ids(spark, tmp_path):
+    """Ids that doubles round: every payload is in exactly one response, whatever else the batch holds."""
+    texts = ["a" * 200, "b" * 200, "c" * 200]
+    ids = [2**53, 2**53 + 1, 2**60 + 1, 2**60 + 2, 2**60 + 3, 2**63 - 1, -2**63, -2**53 - 1]
+    for n, more in enumerate(([], [(None, "u", texts[0]), (None, None, "d" * 200)])):
+        data = [(i, "u", texts[k % 3]) for k, i in enumerate(ids)] + more
+        folder = str(tmp_path / str(n))
+        warc.write_archive(spark.createDataFrame(data, PAGES).coalesce(1), folder, shards=2)
+        got = warc.read_archive(spark, folder).collect()
+        assert sorted((r.page_id or 0) for r in got) == sorted((i or 0) for i, *_ in data)
+        for text in {t for *_, t in data}:
+            holders = [i for i, _, t in data if t == text]
+            digest = hashlib.sha256(text.encode()).hexdigest()
+            mine = [r for r in got if r.payload_digest == digest]
+            least = min((i for i in holders if i is not None), default=None)
+            assert [(r.page_id, bytes(r.payload)) for r in mine
+                    if r.record_type == "response" and r.page_id is not None] == (
+                [(least, text.encode())] if least is not None else [])
+            assert {r.refers_to for r in mine if r.record_type == "revisit"} <= {least}
+
+
+@pytest.mark.parametrize("key", ["id", "id * id * id", "id - 60000 * (id % 2)",
+                                 "CAST(pow(1.0009, id) AS BIGINT) * 100 + id % 100"])
+def test_warc_shards_follow_from_the_rows(spark, tmp_path, key):
+    """Bounds come from all ids, not from a sample, and shards are about even for uneven ids."""
+    pages = spark.range(20_000).selectExpr(f"{key} AS page_id", "'u' AS url", "repeat('x', 40) AS html")
+    one = warc.write_archive(pages.repartition(3), str(tmp_path / "one"), shards=6)
+    two = warc.write_archive(pages.repartition(11), str(tmp_path / "two"), shards=6)
+    assert rows(one) == rows(two)
+    sizes = [r.records for r in one.collect()]
+    assert len(sizes) == 6 and sum(sizes) == 20_000 and max(sizes) < 2 * min(sizes)
+
+
 def test_url_filter(pages):
     got = {(r.page_id, r.host): r for r in url_templates.filter_urls(pages).collect()}
     assert (got[1, "a.example.com"].path, got[1, "a.example.com"].verdict) == ("/x/1", "allow")

@@ -1,10 +1,13 @@
 """Deterministic sharded WARC writer, and the reader that takes the archives apart again.
 
-Records are sorted by range of page id into shards. A shard is a series of files, and a new file begins
+Records are sorted by range of page id into shards. The bounds of the ranges follow from exact sums of
+payload bytes per range of ids, refined a few times, and not from a sample, so a rerun cuts at
+the same ids. A shard is a series of files, and a new file begins
 when the compressed size of the last has reached ``roll_bytes``; every record is a gzip member of
 its own. Headers are made anew from the row: record ids are UUIDs of page id and payload digest, the
-date is a parameter, digests are SHA-256 of block and payload. So a shard's bytes depend on its
-rows only, and a task that runs twice writes the same files.
+date is a parameter, digests are SHA-256 of block and payload. So an archive's bytes depend on its
+rows only, and a task that runs twice writes the same files. Ids reach Python as strings, since pandas
+would round large ones beside a null.
 
 Of records with the same payload of ``least_bytes`` or more, the one with the smallest page id is the
 response and the others are revisits that refer to it. Payloads cross the network once: references
@@ -29,9 +32,11 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentariff.llm.text import prepare_workers
@@ -40,6 +45,8 @@ LEAST_BYTES = 100
 ROLL_BYTES = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES = 32_000_000
+RANGES, REFINEMENTS = 65_536, 3  # ranges of ids whose bytes are summed at once, and how often
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # namespace of URLs, RFC 4122
 MANIFEST = ("shard int, file string, records long, bytes long, sha256 string, "
@@ -96,6 +103,60 @@ def references(pages: DataFrame, least_bytes: int) -> DataFrame:
     return sized.join(groups, "digest").select("page_id", "digest", "refers_to").distinct()
 
 
+def byte_sums(sizes: DataFrame, edges: np.ndarray) -> np.ndarray:
+    """Bytes of the rows (id, size) in each range; range i ends before edge i, the last has no end."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(edges) + 1)
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column(0).to_numpy(), side="right")
+            total += np.bincount(at, batch.column(1).to_numpy(), len(total))
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["at", "bytes"])
+
+    rows = sizes.mapInArrow(summed, "at long, bytes double").groupBy("at").agg(
+        F.sum("bytes").alias("bytes")).toPandas()
+    out = np.zeros(len(edges) + 1)
+    out[rows["at"].to_numpy(np.int64)] = rows["bytes"].to_numpy()
+    return out
+
+
+def _cut(edges: np.ndarray, sums: np.ndarray, parts: int, low: int, high: int) -> np.ndarray:
+    """Ids that part the bytes into ``parts`` about equal parts, as if even inside a range."""
+    bounds = [low, *edges.tolist(), high]
+    upto = np.concatenate([[0.0], np.cumsum(sums)])
+    wanted = upto[-1] * np.arange(1, parts) / parts
+    at = np.clip(np.searchsorted(upto, wanted, side="right") - 1, 0, len(sums) - 1)
+    share = (wanted - upto[at]) / np.where(sums[at] > 0, sums[at], 1)
+    cuts = {bounds[i] + int((bounds[i + 1] - bounds[i]) * f) for i, f in zip(at, share)}
+    return np.array(sorted(c for c in cuts if low < c <= high), np.int64)
+
+
+def shard_bounds(sizes: DataFrame, shards: int | None) -> np.ndarray:
+    """First ids of all shards but the first, from the rows (id, size)."""
+    span = sizes.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    low, high, total = span[0] or 0, span[1] or 0, span[2] or 0
+    shards = shards or max(1, -(-int(total) // SHARD_BYTES))
+    if shards == 1 or low == high or not total:
+        return np.zeros(0, np.int64)
+    step = max(1, (high - low) // RANGES)
+    edges = np.array(range(low + step, high, step)[:RANGES], np.int64)
+    for turn in range(REFINEMENTS + 1):
+        sums = byte_sums(sizes, edges)
+        if turn == REFINEMENTS or sums.max() * 8 <= total / shards:
+            break
+        edges = _cut(edges, sums, RANGES, low, high)
+    return _cut(edges, sums, shards, low, high)
+
+
+def shard_of(bounds: np.ndarray, page_id: Column) -> Column:
+    """Number of the shard that an id (null: the first) belongs to."""
+    @F.pandas_udf("int")
+    def numbered(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+
+    return numbered(F.coalesce(page_id, F.lit(LOWEST)))
+
+
 class Shard:
     """Writes the files of a shard, one at a time, each under a temporary name until finished."""
 
@@ -144,28 +205,32 @@ def write_archive(pages: DataFrame, folder: str, shards: int | None = None,
     html = F.coalesce(F.col("html"), F.lit(""))
     page = F.col("page_id").cast("long").alias("page_id")
     rows = pages.select(page, F.col("url").cast("string").alias("url"), html.alias("html"))
-    if shards is None:
-        total = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-        shards = max(1, -(-total // SHARD_BYTES))
+    bounds = shard_bounds(rows.select(
+        F.coalesce("page_id", F.lit(LOWEST)).alias("id"),
+        F.octet_length("html").cast("double").alias("size")), shards)
     empty = F.lit(None)
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.xxhash64("html", "url")
                        .alias("tie"), empty.cast("binary").alias("digest"),
-                       empty.cast("long").alias("refers_to")).unionByName(
+                       empty.cast("string").alias("refers_to")).unionByName(
         references(rows, least_bytes).select(
             "page_id", F.lit(0).alias("kind"), empty.cast("string").alias("url"),
             empty.cast("string").alias("html"), empty.cast("long").alias("tie"), "digest",
-            "refers_to"))
+            F.col("refers_to").cast("string").alias("refers_to")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = TaskContext.get()
-        shard = Shard(f"{folder}/data", context.partitionId(), context.taskAttemptId(), roll_bytes)
+        attempt = TaskContext.get().taskAttemptId()
+        shard = None
         refers: dict[bytes, int] = {}
         current, done, answered = object(), [], set()
         for batch in batches:
-            for page_id, kind, url, html, digest, target in zip(
-                    batch["page_id"], batch["kind"], batch["url"], batch["html"], batch["digest"],
-                    batch["refers_to"]):
+            for number, page_id, kind, url, html, digest, target in zip(
+                    batch["shard"], batch["page"], batch["kind"], batch["url"], batch["html"],
+                    batch["digest"], batch["refers_to"]):
                 page_id = None if pd.isna(page_id) else int(page_id)
+                if shard is None or shard.shard != number:
+                    if shard is not None and shard.out is not None:
+                        done.append(shard.finish())
+                    shard = Shard(f"{folder}/data", int(number), attempt, roll_bytes)
                 if page_id != current:
                     current, refers, answered = page_id, {}, set()
                 if kind == 0:
@@ -180,13 +245,19 @@ def write_archive(pages: DataFrame, folder: str, shards: int | None = None,
                                       revisit)
                 done += shard.add(page_id, record)
             if done:
-                yield pd.DataFrame(done, columns=MANIFEST_COLUMNS)
+                yield manifest_rows(done)
                 done = []
-        if shard.out is not None:
-            yield pd.DataFrame([shard.finish()], columns=MANIFEST_COLUMNS)
-
-    sorted_ = both.repartitionByRange(shards, F.col("page_id").asc_nulls_first()) \
-        .sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", "tie")
+        if shard is not None and shard.out is not None:
+            done.append(shard.finish())
+        if done:
+            yield manifest_rows(done)
+
+    # A partition for each shard, in order of the ids.
+    sorted_ = (both.withColumn("shard", shard_of(bounds, F.col("page_id")))
+               .repartitionById(len(bounds) + 1, "shard")
+               .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "tie")
+               .select("shard", F.col("page_id").cast("string").alias("page"), "kind", "url", "html",
+                       "digest", "refers_to"))
     sorted_.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
@@ -194,6 +265,18 @@ def write_archive(pages: DataFrame, folder: str, shards: int | None = None,
 MANIFEST_COLUMNS = [part.split()[0] for part in MANIFEST.split(", ")]
 
 
+def manifest_rows(done: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(done, columns=MANIFEST_COLUMNS)
+    for name in ("first_page", "last_page"):
+        out[name] = whole_numbers(out[name])
+    return out
+
+
+def whole_numbers(values) -> pd.Series:
+    """Numbers and None as nullable integers, without a detour through doubles."""
+    return pd.Series(pd.array(list(values), "Int64"))
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -235,9 +318,10 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True,
         fs, path = filesystem(folder)
 
         def frame(rows):
-            out = pd.DataFrame(rows, columns=columns)
-            for name in ("page_id", "refers_to"):
-                out[name] = out[name].astype("Int64")
+            out = pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(
+                columns, zip(*rows) if rows else [()] * len(columns))})
+            for name in ("page_id", "refers_to", "payload_bytes"):
+                out[name] = whole_numbers(out[name])
             return out
 
         for batch in batches:
