@@ -1,7 +1,8 @@
 """Quality rules: statistics of a text, and lines that many documents of a host share.
 
-Every line is normalised (blanks at the ends cut, lower-cased) and hashed; the hashes are written to
-the shared folder once. For every host the distinct documents that hold a line are counted; exact
+Every line is normalised (blanks at the ends cut, lower-cased) and hashed; hashes and lengths are
+written to the shared folder once. What a document loses is summed from them, so a caller that doesn't
+take the cleaned texts shuffles none. For every host the distinct documents that hold a line are counted; exact
 copies of a text count as one document, since copies are for deduplication to remove. Lines found
 in more than ``limit`` distinct texts of their host are removed from the text that is returned, and a
 document is depleted, and rejected, if fewer than ``least_left`` percent of its normalised
@@ -104,14 +105,15 @@ def normal_line(line: Column) -> Column:
 
 
 def host_lines(documents: DataFrame, host: str) -> DataFrame:
-    """(doc, text_id, host, place, hash) of every line that isn't blank."""
+    """(doc, text_id, host, place, hash, chars) of every line that isn't blank."""
     return (documents.select(
         F.col("doc_id").alias("doc"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"),
         F.col(host).alias("host"),
         F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
         .select("doc", "text_id", "host", "place", normal_line(F.col("line")).alias("line"))
         .where(F.col("line") != "")
-        .select("doc", "text_id", "host", "place", F.unhex(F.md5("line")).alias("hash")))
+        .select("doc", "text_id", "host", "place", F.unhex(F.md5("line")).alias("hash"),
+                F.length("line").alias("chars")))
 
 
 def frequent_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -122,10 +124,18 @@ def frequent_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
             .select(F.col("host").alias("_host"), F.col("hash").alias("_hash")))
 
 
-def line_chars(lines: Column) -> Column:
-    """Characters of all lines, normalised."""
-    return F.aggregate(lines, F.lit(0).cast("long"),
-                       lambda total, line: total + F.length(normal_line(line)))
+def losses(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(_doc, _text, _of, _chars, _gone, _places) of the texts that lose lines: their characters, those that go
+    and the places of the lines that go. Rows of the same id, host and text have the same places."""
+    gone = F.col("_hash").isNotNull()
+    return (lines.join(often, F.col("host").eqNullSafe(F.col("_host"))
+                       & (F.col("hash") == F.col("_hash")), "left")
+            .groupBy(F.col("doc").alias("_doc"), F.col("text_id").alias("_text"),
+                     F.col("host").alias("_of"))
+            .agg(F.sum("chars").alias("_chars"),
+                 F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("_gone"),
+                 F.sort_array(F.collect_set(F.when(gone, F.col("place")))).alias("_places"))
+            .where(F.col("_gone") > 0))
 
 
 def quality_rules(documents: DataFrame, host: str = "source", limit: int = LIMIT,
@@ -137,32 +147,23 @@ def quality_rules(documents: DataFrame, host: str = "source", limit: int = LIMIT
     documents = packed(documents, *needed)
     lines = written(host_lines(documents, host), work_folder(documents.sparkSession, "lines"))
     often = frequent_lines(lines, limit)
-    # Rows of the same id, host and text have the same places.
-    gone = (lines.join(often, F.col("host").eqNullSafe(F.col("_host"))
-                       & (F.col("hash") == F.col("_hash")))
-            .groupBy(F.col("doc").alias("_doc"), F.col("text_id").alias("_text"),
-                     F.col("host").alias("_of"))
-            .agg(F.sort_array(F.collect_set("place")).alias("_places")))
     base = base_rules(documents.withColumns({
         "_md5": F.unhex(F.md5(F.coalesce("text", F.lit("")))), "_whole": F.col("text")}))
     cut = base.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_md5") == F.col("_text"))
-        & F.col(f"`{host}`").eqNullSafe(F.col("_of")), "left").withColumn(
-        "_lines", F.when(F.col("_places").isNotNull(), F.split("_whole", "\n", -1)))
+        losses(lines, often), F.col("doc_id").eqNullSafe(F.col("_doc"))
+        & (F.col("_md5") == F.col("_text")) & F.col(f"`{host}`").eqNullSafe(F.col("_of")), "left")
+    percent = F.coalesce(100.0 * (F.col("_chars") - F.col("_gone")) / F.col("_chars"), F.lit(100.0))
+    split = F.split("_whole", "\n", -1)
     # The kept lines lie between the places; -1 and the number of lines close both ends.
-    ends = F.concat(F.array(F.lit(-1)), F.col("_places"), F.array(F.size("_lines")))
-    kept_lines = let(ends, lambda at: F.flatten(F.transform(
+    ends = F.concat(F.array(F.lit(-1)), F.col("_places"), F.array(F.size(split)))
+    kept_lines = let(split, lambda lines: let(ends, lambda at: F.flatten(F.transform(
         F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.slice(
-            F.col("_lines"), F.get(at, k - 1) + 2, F.get(at, k) - F.get(at, k - 1) - 1))))
-    cleaned = cut.withColumn("_kept", F.when(F.col("_places").isNotNull(), kept_lines)).withColumn(
-        "_percent", F.when(F.col("_places").isNotNull(), 100.0 * line_chars(F.col("_kept"))
-                           / line_chars(F.col("_lines"))).otherwise(100.0))
-    text = F.when(F.col("_places").isNotNull(), F.array_join("_kept", "\n")).otherwise(
+            lines, F.get(at, k - 1) + 2, F.get(at, k) - F.get(at, k - 1) - 1)))))
+    text = F.when(F.col("_places").isNotNull(), F.array_join(kept_lines, "\n")).otherwise(
         F.col("_whole"))
-    percent = F.col("_percent")
     before = [text.alias(c) if c == "text" else column for c, column in zip(
         [c for c in columns if c.lower() not in QUALITY], unpacked(
             columns, needed, **{c: F.lit(None) for c in QUALITY}))]
-    return cleaned.select(*before, *[F.col(c) for c in QUALITY[:6]], percent.alias("chars_left_percent"),
-                          (percent < least_left).alias("depleted"),
-                          (~F.col("base_failed") & (percent >= least_left)).alias("kept"))
+    return cut.select(*before, *[F.col(c) for c in QUALITY[:6]], percent.alias("chars_left_percent"),
+                      (percent < least_left).alias("depleted"),
+                      (~F.col("base_failed") & (percent >= least_left)).alias("kept"))
