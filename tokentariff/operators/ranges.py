@@ -32,10 +32,13 @@ def max_of(column: Column) -> Total:
     return Total(F.max, F.greatest, column)
 
 
-def in_ranges(frame: DataFrame, *order: Column) -> DataFrame:
+def in_ranges(frame: DataFrame, *order: Column, parts: int = 0) -> DataFrame:
     """The frame written in ranges of the order, which starts with the keys, and read back with the
-    number of its range in ``_range``."""
-    return kept(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    number of its range in ``_range``. There are as many ranges as shuffle partitions, or ``parts``
+    if that is more."""
+    least = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = frame.repartitionByRange(parts, *order) if parts > least else frame.repartitionByRange(*order)
+    return kept(cut.withColumn("_range", F.spark_partition_id()))
 
 
 def running(ranges: DataFrame, keys: list[str], order: list[Column], inclusive: bool = False,
