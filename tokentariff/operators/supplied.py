@@ -30,6 +30,8 @@ def price_supplied_chunks(sessions: DataFrame, chunks: DataFrame, threshold, alp
     result then has a row and the columns ``threshold`` and ``alpha`` for each pair of them, from
     the same one pass over the pieces.
 
+    ``chunks`` may be a table of ``stored_pieces``: its buckets take the place of the shuffle.
+
     Every session row gives a result row, with a null id (it has no pieces) or a repeated one too.
     Piece numbers are unique in a session, and the smallest is its first piece; a session with a
     piece that has no number is billed as it was and has ``heights_ok`` false. A null height is 0,
@@ -98,16 +100,39 @@ def _prepared(sessions: DataFrame, chunks: DataFrame, rates: Rates, peak_mode: s
     return _outlined(priced, _outlines(spread), prices, peak_mode, tolerance), spread, prices
 
 
-def _spread(chunks: DataFrame) -> DataFrame:
-    """Pieces shuffled by session and by block of piece numbers, so that a session with a great
-    share of all pieces is many groups. Both uses of the pieces share this one shuffle; the null
-    check is the one the join would add to one use only."""
+def stored_pieces(chunks: DataFrame, table: str, buckets: int | None = None,
+                  path: str | None = None) -> DataFrame:
+    """Write pieces as a table for repeated runs, in buckets of session and block of piece numbers.
+
+    ``price_supplied_chunks`` and ``supplied_piece_prices`` shuffle no piece of such a table. Use as many buckets
+    as runs have shuffle partitions (the default): with fewer, Spark may shuffle after all. A table of
+    that name is replaced.
+    """
+    spark = chunks.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = _blocks(chunks).repartition(buckets, "session_id", "block").write.mode("overwrite")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, "session_id", "block").sortBy("session_id", "block").saveAsTable(table)
+    return spark.table(table)
+
+
+def _blocks(chunks: DataFrame) -> DataFrame:
+    """Pieces with their block of piece numbers, so that a session with a great share of all pieces is
+    many groups."""
     index = F.col("chunk_idx")
     block = F.coalesce(F.pmod(F.floor(index / BLOCK), F.lit(BLOCKS)), F.lit(0).cast("long"))
     height = F.coalesce(F.col("height").cast("double"), F.lit(0.0))
     return (chunks.select("session_id", index, height.alias("height"), block.alias("block"))
-            .where(F.col("session_id").isNotNull())
-            .repartition("session_id", "block"))
+            .where(F.col("session_id").isNotNull()))
+
+
+def _spread(chunks: DataFrame) -> DataFrame:
+    """Pieces by session and block. Both uses of the pieces share this one shuffle, or the buckets of a
+    stored table; the null check is the one the join would add to one use only."""
+    if chunks.columns == ["session_id", "chunk_idx", "height", "block"]:
+        return chunks.where(F.col("session_id").isNotNull())
+    return _blocks(chunks).repartition("session_id", "block")
 
 
 def _outlines(spread: DataFrame) -> DataFrame:
