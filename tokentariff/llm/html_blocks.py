@@ -32,16 +32,22 @@ OUTSIDE_WORDS = frozenset(
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar topbar widget widgets search contentinfo complementary alert "
     "dialog".split())
+# What is no part of an article even inside its slot: elements, and a whole class, id or role.
+NEVER = frozenset(
+    "nav aside form button select option menu dialog head object audio video canvas".split())
+NEVER_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored comment comments commentlist disqus"
+    .split())
 ARTICLE = frozenset(["article", "main"])
 WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("path", "parent", "text", "outside", "article", "links")
+    __slots__ = ("path", "parent", "text", "outside", "article", "links", "never")
 
-    def __init__(self, path, parent, text, outside, article, links):
+    def __init__(self, path, parent, text, outside, article, links, never):
         self.path, self.parent, self.text = path, parent, text
-        self.outside, self.article, self.links = outside, article, links
+        self.outside, self.article, self.links, self.never = outside, article, links, never
 
 
 def _attributes(source: str) -> tuple[str, bool]:
@@ -62,7 +68,7 @@ def blocks_and_paths(page: str | None) -> tuple[list[Block], dict[str, tuple[str
     """Blocks of text in page order, and path -> (parent path, number of elements)."""
     blocks: list[Block] = []
     paths: dict[str, tuple[str, int]] = {}
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, outside, article
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, outside, article, never
     held: list[str] = []
     linked = 0
     anchors = 0
@@ -72,11 +78,11 @@ def blocks_and_paths(page: str | None) -> tuple[list[Block], dict[str, tuple[str
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            tag, path, outside, article = next(
-                (x for x in reversed(stack) if x[0] not in INLINE), ("", "", False, False))
+            tag, path, outside, article, never = next(
+                (x for x in reversed(stack) if x[0] not in INLINE), ("", "", False, False, False))
             parent = path.rpartition("/")[0]
             blocks.append(Block(path, parent, text, outside or bool(stack and stack[-1][2]),
-                                article, linked / len(text)))
+                                article, linked / len(text), never or bool(stack and stack[-1][4])))
         linked = 0
 
     def close(at: int):
@@ -142,18 +148,23 @@ def blocks_and_paths(page: str | None) -> tuple[list[Block], dict[str, tuple[str
                 at = next((i for i, x in enumerate(stack) if x[0] in OUTSIDE), None)
                 if at is not None:
                     close(at)
-            above = stack[-1] if stack else ("", "", False, False)
+            above = stack[-1] if stack else ("", "", False, False, False)
             mine = WORDS.findall(named)
             inside = above[3] and tag == "header"
-            outside = above[2] or hidden or (tag in OUTSIDE and not inside) \
-                or (tag not in ("html", "body") and not OUTSIDE_WORDS.isdisjoint(mine))
+            never = above[4] or hidden or tag in NEVER or (
+                tag not in ("html", "body") and not NEVER_NAMES.isdisjoint(named.split()))
+            # Inside an article other words in names are its own: a section may be about search.
+            listed = NEVER_NAMES if above[3] else OUTSIDE_WORDS
+            outside = above[2] or never or (tag in OUTSIDE and not inside) or (
+                tag not in ("html", "body") and not listed.isdisjoint(
+                    named.split() if above[3] else mine))
             path = above[1]
             if tag not in INLINE:
                 label = f"{tag}.{named}" if named else tag
                 parent, path = path, f"{path}/{label}"
                 paths[path] = (parent, paths[path][1] + 1 if path in paths else 1)
             anchors += tag == "a"
-            stack.append((tag, path, outside, above[3] or tag in ARTICLE))
+            stack.append((tag, path, outside, above[3] or tag in ARTICLE, never))
     while stack and stack[-1][0] in INLINE:
         stack.pop()
     flush()
