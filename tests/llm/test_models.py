@@ -4,13 +4,15 @@ import re
 import zlib
 from html import unescape
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import DATA
 from tests.llm import brute
-from tokentariff.llm import (components, html_templates, mixing, queries, token_counts, toxicity)
+from tokentariff.llm import (components, html_templates, mixing, phrases, queries, token_counts,
+                             toxicity)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -35,12 +37,10 @@ def test_kernel_bears_gaps_and_inserted_characters():
     assert values[:5].min() > 2 * values[5:].max()
     assert values[1] == pytest.approx(values[2]) == pytest.approx(toxicity.kernel(word, word)[0, 0])
     gram = toxicity.kernel(near + far, near + far)
-    import numpy as np
     assert np.linalg.eigvalsh(gram).min() > -1e-9
 
 
 def test_folded_weights_give_the_kernel_expansion():
-    import numpy as np
     marks, beta = ["scoundrel", "umbrella", "of"], [0.7, -0.4, 0.2]
     weights = np.zeros(toxicity.CLASSES ** 3)
     for mark, b in zip(marks, beta):
@@ -56,7 +56,6 @@ def test_folded_weights_give_the_kernel_expansion():
 
 
 def test_texts_score_alike_alone_and_in_any_batch():
-    import numpy as np
     weights = np.zeros(toxicity.CLASSES ** 3)
     for code, value in toxicity.features("scoundrel").items():
         weights[code] += value
@@ -98,6 +97,59 @@ def test_token_counts_of_odd_texts(monkeypatch, cache):
     assert lengths.counts(texts) == [len(encoder.encode(t or "")) for t in texts]
 
 
+def phrase_documents(n, toxic, rng, gap=0.0):
+    """Sentences of ordinary words; toxic ones hold one insult of nine of them, words put in with ``gap``."""
+    words = [f"{a}{b}{c}" for a in ("ba", "ke", "lo", "mi", "ru") for b in ("ra", "li", "no", "pe")
+             for c in "nstrl"]
+    insult = [words[i] for i in (3, 41, 17, 88, 60, 9, 72, 25, 50)]
+    out = []
+    for _ in range(n):
+        lines = [[rng.choice(words) for _ in range(rng.randrange(5, 15))]
+                 for _ in range(rng.randrange(3, 12))]
+        if toxic:
+            said = [w for x in insult for w in ([x, rng.choice(words)] if rng.random() < gap else [x])]
+            rng.choice(lines)[2:2] = said
+        out.append(". ".join(map(" ".join, lines)) + ".")
+    return out
+
+
+def test_toxic_phrases_of_ordinary_words():
+    """No word tells: the spans of sentences do, also with words put in between."""
+    import random
+    rng = random.Random(11)
+    model = toxicity.train(phrase_documents(150, True, rng), phrase_documents(450, False, rng))
+    assert model.phrases is not None
+    assert (model.probabilities(phrase_documents(80, True, rng)) >= toxicity.THRESHOLD).mean() >= 0.9
+    assert (model.probabilities(phrase_documents(80, True, rng, 0.1))
+            >= toxicity.THRESHOLD).mean() >= 0.9
+    clean = phrase_documents(200, False, rng)
+    assert (model.probabilities(clean) >= toxicity.THRESHOLD).mean() <= 0.02
+    together = model.probabilities(clean[:30])
+    assert all(model.probabilities([t])[0] == p for t, p in zip(clean, together))
+    assert phrases.train(clean[:20], clean, None, None) is None
+
+
+def test_phrase_sums_are_the_kernel():
+    """The sum over windows of folded weights equals the kernel expansion of each span."""
+    rng = np.random.default_rng(2)
+    hashes = phrases.WordHashes()
+    words, sentence = phrases.words_of("a b c d e f g h i j. k l m n a b c. x", hashes)
+    assert sentence.tolist() == [0] * 10 + [1] * 7 + [2]
+    marks = [phrases.features(words[i:i + 6]) for i in (0, 3, 10)]
+    beta = rng.normal(size=3)
+    folded = {}
+    for mark, b in zip(marks, beta):
+        for code, value in mark.items():
+            folded[code] = folded.get(code, 0.0) + b * value
+    names = np.array(sorted(folded), np.uint64)
+    model = phrases.Phrases(names, np.array([folded[c] for c in names.tolist()]), 0.0)
+    sums = phrases.window_sums(words, sentence, model.weigh)
+    for i in range(len(words)):
+        span = words[i:i + phrases.SPAN][sentence[i:i + phrases.SPAN] == sentence[i]]
+        want = (phrases.kernel([phrases.features(span)], marks) @ beta)[0]
+        assert sums[i] == pytest.approx(want)
+
+
 def test_html_article_of_the_pages(spark):
     """Pages whose article is marked: what stands in it, block by block."""
     pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")

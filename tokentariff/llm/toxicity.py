@@ -18,6 +18,11 @@ and scoring a text is a sweep over its letters. A logistic curve makes the proba
 its highest word, by the number of words near the positive side, and by its length, since a longer
 text holds more chance likenesses.
 
+Insults made of ordinary words hold no telling word. Where toxic training documents are missed by their
+words, a second machine of the same kind is trained on spans of their sentences, with words in place of letters
+(module ``phrases``); the value of a text's best span then is one more variable of the curve. Where those
+documents share no phrase, there is no second machine and nothing changes.
+
 Training takes at most ``sample_docs`` labelled documents of each label, of at most ``sample_chars``
 characters each (a documented bound: the sample is chosen by a hash of the id). Scores use the text
 only. Null, empty and blank texts get the probability of a text without any words. Repeated rows are
@@ -30,15 +35,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokentariff.llm import phrases
+from tokentariff.llm.shingles import WordHashes
 from tokentariff.llm.text import packed, prepare_workers, unpacked
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
+PHRASE_DOCS = 600  # missed toxic documents that the second machine learns from at most
 LANDMARKS = 768
 CLEAN_WEIGHT = 10.0
 PENALTY = 1e-4
@@ -154,35 +163,46 @@ def word_scores(classes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
     return sums / NORMS[np.minimum(lengths, len(NORMS) - 1)], starts
 
 
-def features(word: str) -> dict[int, float]:
-    """Triples of letters of one word with their decayed counts, normalised."""
+@lru_cache(maxsize=200_000)
+def _features(word: str) -> tuple[np.ndarray, np.ndarray]:
     classes, _ = letters(word)
-    inside = classes[classes != BLANK].astype(int)
+    inside = classes[classes != BLANK].astype(np.int64)
     norm = NORMS[min(len(inside), len(NORMS) - 1)]
-    found: dict[int, float] = {}
-    for i in range(len(inside)):
-        for j, k in PATTERNS:
-            if i + k < len(inside):
-                code = (inside[i] << 12) | (inside[i + j] << 6) | inside[i + k]
-                found[code] = found.get(code, 0.0) + DECAY ** (k + 1) / norm
-    return found
-
-
-def kernel(words: list[str], others: list[str]) -> np.ndarray:
-    """Kernel values of all words with all others, by a table of triples of the others."""
-    table: dict[int, list[tuple[int, float]]] = {}
-    for column, other in enumerate(others):
-        for code, value in features(other).items():
-            table.setdefault(code, []).append((column, value))
-    columns = {code: (np.array([c for c, _ in v]), np.array([x for _, x in v]))
-               for code, v in table.items()}
-    out = np.zeros((len(words), len(others)))
-    for row, word in enumerate(words):
-        for code, value in features(word).items():
-            if code in columns:
-                at, values = columns[code]
-                out[row, at] += value * values
-    return out
+    codes = [np.empty(0, np.int64)]
+    values = [np.empty(0)]
+    for j, k in PATTERNS:
+        n = len(inside) - k
+        if n > 0:
+            codes.append((inside[:n] << 12) | (inside[j:j + n] << 6) | inside[k:])
+            values.append(np.full(n, DECAY ** (k + 1) / norm))
+    found, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(values), len(found))
+
+
+def features(word: str) -> dict[int, float]:
+    """Triples of letters of one word with their decayed counts, normalised."""
+    codes, values = _features(word)
+    return dict(zip(codes.tolist(), values.tolist()))
+
+
+def kernel(words: list[str], others: list[str], rows: int = 512) -> np.ndarray:
+    """Kernel values of all words with all others: products over the triples of the others, for some
+    rows of words at a time."""
+    known = np.unique(np.concatenate([np.empty(0, np.int64), *[_features(w)[0] for w in others]]))
+    place = np.full(CLASSES ** 3, -1)
+    place[known] = np.arange(len(known))
+
+    def dense(some: list[str]) -> np.ndarray:
+        out = np.zeros((len(some), len(known)))
+        for row, word in enumerate(some):
+            codes, values = _features(word)
+            at = place[codes]
+            out[row, at[at >= 0]] = values[at >= 0]
+        return out
+
+    columns = dense(others).T
+    return np.concatenate([np.empty((0, len(others)))] + [
+        dense(words[i:i + rows]) @ columns for i in range(0, len(words), rows)])
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3,
@@ -210,7 +230,11 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    curve: tuple[float, float, float, float]
+    curve: tuple[float, ...]
+    phrases: phrases.Phrases | None = None
+
+    def __post_init__(self):
+        self.hashes = WordHashes()
 
     def word_values(self, words: list[str]) -> np.ndarray:
         """The machine's value of each prepared word of two letters or more."""
@@ -218,7 +242,8 @@ class Model:
 
     def text_values(self, texts: list[str | None]) -> np.ndarray:
         """Of every text: its highest word value, -2 at least and where it has no words; log(1 + n)
-        of its words with a value of ``NEAR`` or more; and log(1 + n) of all its words."""
+        of its words with a value of ``NEAR`` or more; log(1 + n) of all its words; and, if there is
+        a machine for phrases, the value of its best span."""
         found = np.zeros((len(texts), 3))
         found[:, 0] = -2.0
         classes, _, owner = letters_of([t or "" for t in texts])
@@ -230,6 +255,8 @@ class Model:
             found[text[first], 0] = np.maximum(np.maximum.reduceat(values, first), -2.0)
             found[:, 1] = np.log1p(np.bincount(text[values >= NEAR], minlength=len(texts)))
             found[:, 2] = np.log1p(np.bincount(text, minlength=len(texts)))
+        if self.phrases is not None:
+            found = np.column_stack([found, [self.phrases.value(t, self.hashes) for t in texts]])
         return found
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
@@ -241,8 +268,9 @@ class Model:
                 group, size = [], 0
             group.append(text)
             size += len(text or "")
-        out.append(self.text_values(group) if group else np.empty((0, 3)))
-        found = np.concatenate(out)
+        if group:
+            out.append(self.text_values(group))
+        found = np.concatenate(out) if out else np.empty((0, len(self.curve) - 1))
         *slopes, level = self.curve
         # Column by column: a product of matrices may round a row by the rows beside it.
         total = sum((slope * found[:, i] for i, slope in enumerate(slopes)), np.full(len(found), level))
@@ -291,7 +319,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns:
     in_toxic = Counter(w for words in bags for w in words)
     seeds = _seed_words(bags, clean_words, len(toxic), len(clean))
     if not seeds:
-        return constant
+        return _with_phrases(constant, toxic, toxic, clean, rng)
     negatives = sorted(w for w in clean_words if len(w) > 2 and w not in seeds)
     frequent = sorted(negatives, key=lambda w: (-clean_words[w], w))[:1_000]
     chosen = list(dict.fromkeys(
@@ -351,7 +379,24 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns:
     curve = _logistic(x, y)
     if curve[0] < 0:  # the count says it all: a higher word never makes a text less toxic
         curve = np.append(0.0, _logistic(x[:, 1:], y))
-    return Model(model.weights, model.bias, tuple(map(float, curve)))
+    model = Model(model.weights, model.bias, tuple(map(float, curve)))
+    missed = [t for t, score in zip(toxic, model.probabilities(toxic)) if score < THRESHOLD]
+    return _with_phrases(model, missed, toxic, clean, rng)
+
+
+def _with_phrases(model: Model, missed: list[str], toxic: list[str], clean: list[str], rng) -> Model:
+    """The model with a machine for the phrases of the missed toxic texts, if they share any."""
+    some = [missed[i] for i in sorted(rng.permutation(len(missed))[:PHRASE_DOCS])]
+    found = phrases.train(some, clean, lambda x, y, weight: squared_hinge(x, y, weight, PENALTY), rng)
+    if found is None:
+        return model
+    both = Model(model.weights, model.bias, model.curve, found)
+    x = np.concatenate([both.text_values([t]) for t in [*toxic, *clean]])
+    y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
+    curve = _logistic(x, y)
+    if curve[0] < 0:
+        curve = np.append(0.0, _logistic(x[:, 1:], y))
+    return Model(model.weights, model.bias, tuple(map(float, curve)), found) if curve[3] > 0 else model
 
 
 def _spoilt(word: str, rng) -> str:
@@ -424,14 +469,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 texts[1 - int(toxic)].append(text)
         model = train(sorted(texts[0]), sorted(texts[1]))
-        yield pd.DataFrame([(model.weights.tobytes(), model.bias, list(model.curve))],
-                           columns=["weights", "bias", "curve"])
+        found = model.phrases
+        yield pd.DataFrame([(model.weights.tobytes(), model.bias, list(model.curve), *(
+            (found.codes.tobytes(), found.weights.tobytes(), found.bias) if found else (b"", b"", 0.0)))],
+            columns=["weights", "bias", "curve", "codes", "code_weights", "code_bias"])
 
     row = sample.repartition(1).mapInPandas(
-        run, "weights binary, bias double, curve array<double>").first()
+        run, "weights binary, bias double, curve array<double>, codes binary, code_weights binary, "
+        "code_bias double").first()
     if row is None:  # no labelled row at all, so no task had any to train on
         return train([], [])
-    return Model(np.frombuffer(bytes(row.weights), dtype=np.float32), row.bias, tuple(row.curve))
+    found = phrases.Phrases(np.frombuffer(bytes(row.codes), np.uint64), np.frombuffer(
+        bytes(row.code_weights), np.float64), row.code_bias) if len(row.codes) else None
+    return Model(np.frombuffer(bytes(row.weights), dtype=np.float32), row.bias, tuple(row.curve), found)
 
 
 def score_texts(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
