@@ -52,6 +52,17 @@ def test_quality_rules_return_texts_without_frequent_lines(edges, clashing):
     assert left == {i: 100 * n[1] / sum(n) for i, n in whole.items()}
 
 
+def test_quality_verdicts_shuffle_no_texts(edges):
+    """Without the cleaned texts, texts are only scanned: no exchange carries them or places of lines."""
+    got = quality_rules.quality_rules(edges.withColumn("extra", F.lit("x"))).select(
+        "doc_id", *quality_rules.QUALITY)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Project [" in line and "n_repeat_words" in line]
+    assert joins and "collect_set" not in plan
+    assert not any("_whole" in line or "_given" in line for line in plan.splitlines())
+    assert got.count() == edges.count()
+
+
 def test_repeated_words_of_colliding_hashes(spark, monkeypatch):
     """With all hash bits gone every neighbour is compared, and the exact way has to serve."""
     monkeypatch.setattr(quality_rules, "HASH", 0)
@@ -103,6 +114,29 @@ def test_line_runs(edges, clashing, nothing):
     assert line_runs.drop_repeated_lines(nothing).collect() == []
 
 
+def test_runs_are_read_without_an_exchange(spark, monkeypatch, tmp_path):
+    """Anti-joins read a run's sorted buckets, and compaction shuffles nothing at all."""
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(line_runs.LineRuns, "_compact", lambda self: None)
+    runs = line_runs.LineRuns(spark, str(tmp_path), least=2)
+    batch = spark.range(900).select(F.md5((F.col("id") % 300).cast("string")).alias("hash"),
+                                    (F.col("id") + 1_000).alias("doc"))
+    runs.add(batch)
+    later = batch.withColumn("doc", F.col("doc") - 1_000).unionByName(
+        spark.createDataFrame([("new", 3)], "hash string, doc long"))
+    runs.add(later)
+    first, second = runs.levels[0]
+    assert second.collect() == [("new", 1, 3)] and first.count() == 300
+    assert "Exchange" not in plan(runs._merge([first, second]))
+    joined = plan(runs.unsettled(later.groupBy("hash").agg(
+        F.count("*").alias("n_docs"), F.max("doc").alias("last_doc")), first))
+    # The one exchange is that of the batch's own count.
+    assert joined.count("Exchange") == 1 and "SortMergeJoin" in joined
+    assert joined.index("SortMergeJoin") < joined.index("HashAggregate") < joined.index("Exchange")
+
+
 def test_mixing(edges, clashing, nothing):
     mixed = mixing.mix(edges, range_rows=2)
     got = mixed.collect()
@@ -307,5 +341,59 @@ def test_html_copies_of_a_page_are_no_template(spark):
     assert {r.pages for r in html_templates.host_templates(pages).collect()} == {13}
 
 
+FLAT = ("<html><body><div class=x><p>Acme Times since 1901</p>{0}<p>All rights reserved by Acme</p>"
+        "</div></body></html>")
+THREE = ("<html><body><div class=x1><p>Acme Times, {1} readers</p><p>Late edition</p></div>"
+         "<div class=x2><h1>Title {1}</h1>{0}</div><div class=x3><p>Issue {1}</p></div></body></html>")
+STORY = "Body {0}.{1} of the story, which is a good deal longer than what stands around it."
+
+
+@pytest.mark.parametrize("page", [FLAT, THREE])
+def test_html_without_telling_names(spark, page):
+    """No <article>, no listed word: words of the template go, and what stands beside the main slot goes
+    even where it differs from page to page."""
+    stories = {i: [STORY.format(i, k) for k in range(1 + i % 4)] for i in range(40)}
+    pages = spark.createDataFrame([(i, "http://n.example/x", page.format(
+        "".join(f"<p>{s}</p>" for s in story), i)) for i, story in stories.items()], PAGES)
+    got = {r.page_id: r.text for r in html_templates.extract_text(pages).collect()}
+    assert got == {i: "\n\n".join(([f"Title {i}"] if page is THREE else []) + story)
+                   for i, story in stories.items()}
+
+
+def test_html_sections_with_listed_words_stay(spark):
+    """Inside the article a listed word in a longer name, or one for notices, drops nothing."""
+    page = ("<article><h1>T {0}</h1><p>Long opening text number {0} of it.</p><section "
+            "class='search-history'><p>History {0}</p></section><div class='widget-review notice'>"
+            "<p>Review {0}</p></div><div class=comments><p>Me first {0}</p></div><form>Write {0}</form>"
+            "</article><p>Outside {0}</p>")
+    for n in (3, 30):
+        pages = spark.createDataFrame(
+            [(i, "http://w.example/x", page.format(i)) for i in range(n)], PAGES)
+        got = {r.page_id: r.text for r in html_templates.extract_text(pages).collect()}
+        assert got == {i: f"T {i}\n\nLong opening text number {i} of it.\n\nHistory {i}\n\nReview {i}"
+                       for i in range(n)}
+
+
+def test_html_classes_against_plain_python(spark):
+    """Equivalence classes from hashed sums are those of whole occurrence vectors."""
+    from collections import defaultdict
+    html = [FLAT.format("".join(f"<p>{STORY.format(i, k)}</p>" for k in range(1 + i % 3))
+                        + "<ul><li>a<li>b</ul>" * (i % 2), i) for i in range(24)]
+    pages = spark.createDataFrame([(i, "http://c.example", h) for i, h in enumerate(html)], PAGES)
+    vectors = defaultdict(dict)
+    for i, source in enumerate(html):
+        for token, _, _, n, *_ in html_templates.tokens_of(source)[1]:
+            vectors[token][i] = n
+    classes = defaultdict(set)
+    for token, vector in vectors.items():
+        if len(vector) >= 5 and len(vector) * 100 >= 30 * len(html):
+            classes[tuple(sorted(vector.items()))].add(token)
+    want = {frozenset(c) for c in classes.values() if len(c) >= 2}
+    found = defaultdict(set)
+    for r in html_templates.host_templates(pages).collect():
+        found[r["class"]].add(r.token)
+    assert {frozenset(c) for c in found.values()} == want and len(want) >= 2
+
+
 def test_extra_names_are_listed():
     assert set(CLASHING) & {"n_words", "score", "key"} and DOCUMENTS

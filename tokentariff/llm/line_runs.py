@@ -1,11 +1,12 @@
 """Line deduplication on levelled sorted runs of line hashes.
 
 Lines are logged once as (document, row, place, hash of the line's key) and cut into batches of
-falling document ids. A *run* is a table sorted by hash that holds, for every hash of its batch, in
-how many documents it was seen and the largest of their ids. A new batch merge-anti-joins the runs:
-hashes that the runs have settled already (seen in ``least`` documents, all with larger ids than
-any of this batch) need no more counting and are left out; the others form the batch's own run
-on level 0. When a level has ``fanout`` runs, they are compacted into one run of the next level.
+falling document ids. A *run* is a table in buckets of the hash, sorted by it, that holds, for every hash of its
+batch, in how many documents it was seen and the largest of their ids. A new batch is counted by hash and
+merge-anti-joins the runs: hashes that the runs have settled already (seen in ``least`` documents, all
+with larger ids than any of this batch) are left out; the others form the batch's own run
+on level 0. When a level has ``fanout`` runs, they are compacted into one run of the next level. Batch and
+runs are in the same buckets, so neither step shuffles a run.
 At the end the runs say which hashes are repeated and which document keeps its lines; lines
 of the log that merge with those are dropped.
 
@@ -22,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentariff.llm.text import BLANKS, ascii_lower, packed, unpacked, work_folder, written
+from tokentariff.llm.text import (BLANKS, ascii_lower, bucketed, packed, unpacked, work_folder,
+                                  written)
 
 SHORTEST, LEAST = 40, 5
 BATCHES, FANOUT = 4, 2
@@ -50,20 +52,28 @@ class LineRuns:
 
     def _write(self, run: DataFrame) -> DataFrame:
         self.made += 1
-        return written(run.sortWithinPartitions("hash"), f"{self.folder}/run-{self.made}")
+        return bucketed(run, f"{self.folder}/run-{self.made}", "hash")
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: (hash, doc) with every doc below those of earlier batches."""
-        for run in self.runs():
-            settled = run.where(F.col("n_docs") >= self.least).select("hash")
-            batch = batch.join(settled, "hash", "left_anti")
         # Two steps, so that a line of very many documents is counted by many tasks.
         seen = batch.groupBy("hash", "doc").agg(F.lit(1).alias("one"))
         own = seen.groupBy("hash").agg(F.sum("one").cast("long").alias("n_docs"),
                                        F.max("doc").alias("last_doc"))
+        for run in self.runs():
+            own = self.unsettled(own, run)
         self.levels[0].append(self._write(own))
         self._compact()
 
+    def unsettled(self, own: DataFrame, run: DataFrame) -> DataFrame:
+        """The hashes that the run has not settled. The documents of a settled one are all larger, and
+        that as a condition keeps the join above the count, where every hash is one row."""
+        settled = run.where(F.col("n_docs") >= self.least).select(
+            F.col("hash").alias("_hash"), F.col("last_doc").alias("_last"))
+        return own.hint("merge").join(
+            settled.hint("merge"), (F.col("hash") == F.col("_hash"))
+            & (F.col("last_doc") < F.col("_last")), "left_anti")
+
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
             if len(level) < self.fanout:
@@ -75,11 +85,14 @@ class LineRuns:
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        everything = runs[0]
+        """One run of two or more, by merge joins of their buckets."""
+        merged = runs[0]
         for run in runs[1:]:
-            everything = everything.unionByName(run)
-        return everything.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"),
-                                              F.max("last_doc").alias("last_doc"))
+            other = run.select("hash", F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
+            merged = merged.hint("merge").join(other.hint("merge"), "hash", "full").select(
+                "hash", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"),
+                F.greatest("last_doc", "_last").alias("last_doc"))
+        return merged
 
     def repeated(self) -> DataFrame:
         """(hash, last_doc) of the lines found in ``least`` documents or more."""
