@@ -96,9 +96,9 @@ def judged_templates(counts: DataFrame, max_children: int = MAX_CHILDREN, least:
                      max_z: float = MAX_Z, strength: float = STRENGTH,
                      reject: float = REJECT) -> DataFrame:
     """(host, template, general, purity, learned): learned is block or allow."""
-    branches = generalised(counts, max_children).groupBy("host", "general").agg(
-        F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"),
-        F.collect_list("template").alias("templates"))
+    placed = generalised(counts, max_children)
+    branches = placed.groupBy("host", "general").agg(
+        F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     node = Window.partitionBy("host", "node")
     share = F.col("blocked") / F.col("labelled")
     pooled = F.col("all_blocked") / F.col("all_labelled")
@@ -113,11 +113,12 @@ def judged_templates(counts: DataFrame, max_children: int = MAX_CHILDREN, least:
     number = {c: F.when(F.col("merged"), F.sum(c).over(merged)).otherwise(F.col(c))
               for c in ("labelled", "blocked")}
     purity = (number["blocked"] + strength / 2) / (number["labelled"] + strength)
-    return (compared.withColumn("purity", purity)
-            .select("host", F.explode("templates").alias("template"),
-                    F.when(F.col("merged"), F.col("node")).otherwise(F.col("general"))
-                    .alias("general"), "purity",
-                    F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("learned")))
+    judged = compared.withColumn("purity", purity).select(
+        "host", "general", F.when(F.col("merged"), F.col("node")).otherwise(F.col("general"))
+        .alias("shown"), "purity",
+        F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("learned"))
+    return placed.select("host", "template", "general").join(judged, ["host", "general"]).select(
+        "host", "template", F.col("shown").alias("general"), "purity", "learned")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, keep: tuple[str, ...] = ("page_id",),
