@@ -6,10 +6,12 @@ A budget of e whole sources and a rest takes every document e times, and then do
 the order of exponential keys, -ln(u) / weight, with u drawn from the document's id: the first
 ones whose prefix sum of tokens is nearest to the rest.
 
-A source may hold any share of the rows, so no window spans one: keys are cut into ranges, the
-ranges are summed first, and the prefix sums run within a range on top of the ranges before it.
-The number of ranges of a source grows with its rows. Texts are read once: id, source, tokens and
-key are written to the shared folder, and only they are shuffled.
+A source may hold any share of the rows, so no window spans one: rows are sorted into ranges, which
+are summed first, and the prefix sums run within a range on top of the ranges before it. Since these
+sums rise, what is taken of a source is all up to one place in its order, and this place is all that goes
+back to the documents: a row per source, broadcast up to BROADCAST_SOURCES of them. Texts are
+read once; the kept columns, id, source, tokens and key are written to the shared folder, and only id,
+source, tokens and key are shuffled.
 
 Null texts have 0 tokens; null sources are one source, last in order. Documents with equal keys
 are ordered by id (nulls first), tokens and a hash of the text; equal rows are interchangeable.
@@ -22,9 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentariff.llm.text import word_count, without, work_folder, written
+from tokentariff.operators.ranges import in_ranges, running, sum_of
 
 SYMBOLS = "#*$%&|<>"
-RANGE_ROWS = 1_000
+RANGE_ROWS = 1_000_000
+BROADCAST_SOURCES = 10_000
 SEED = "mix"
 
 
@@ -84,30 +88,35 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int
         given.alias("_given"), "source", F.col("doc_id").alias("_id"),
         F.xxhash64("text").alias("_tie"), word_count(F.col("text")).alias("size"),
         exponential_key(F.col("doc_id"), quality).alias("_key"))
-    rows = written(rows, work_folder(documents.sparkSession, "mix"))
+    folder = work_folder(documents.sparkSession, "mix")
+    rows = written(rows, f"{folder}/rows")
     sizes = rows.groupBy("source").agg(F.count("*").alias("rows"),
                                        F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, percent, most)
-    # A monotonic map of keys to ranges: their share under the mean rate of the keys, about 1.
-    ranges = F.ceil(F.col("rows") / range_rows)
-    placed = (rows.join(targets,
-                        rows["source"].eqNullSafe(targets["source"]))
-              .drop(targets["source"])
-              .withColumn("_range", F.floor(ranges * (1 - F.exp(-F.col("_key"))))))
-    sums = placed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    over = Window.partitionBy("source").orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("_source"), F.col("_range").alias("_r"),
-                         F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("source", "_range").orderBy(
-        "_key", "_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = (placed.join(starts, placed["source"].eqNullSafe(starts["_source"])
-                          & (placed["_range"] == starts["_r"]))
-              .withColumn("_upto", F.col("_start") + F.sum("size").over(within)))
-    epochs = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
+    targets = written(source_targets(sizes, weights, percent, most).select(
+        F.col("source").alias("_source"), "rows", "source_size", "target",
+        F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
+        .alias("_epochs")), f"{folder}/targets")
+    counted = targets.agg(F.count("*"), F.sum("rows")).first()
+    few = counted[0] <= BROADCAST_SOURCES
+    of_source = F.col("source").eqNullSafe(F.col("_source"))
+
+    def with_source(frame: DataFrame, of: DataFrame) -> DataFrame:
+        return frame.join(F.broadcast(of) if few else of, of_source, "left")
+
+    order = [F.col(c) for c in ("_key", "_id", "size", "_tie")]
+    ranges = in_ranges(rows.select("source", *order), F.col("source"), *order,
+                       parts=-(-(counted[1] or 0) // range_rows))
+    upto = with_source(running(ranges, ["source"], order, inclusive=True,
+                               _upto=sum_of(F.col("size"))), targets)
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")
     middle = F.col("_upto") - F.col("size") / 2.0
-    return (summed.withColumn("_epochs", F.coalesce(epochs, F.lit(0)))
-            .withColumn("taken", (F.col("size") * (F.col("_epochs") + F.when(
-                (F.col("_epochs") < most) & (middle <= rest), 1).otherwise(0))).cast("long"))
-            .select(*[F.col(f"_given.`{c}`") for c in keep], *made))
+    place = F.struct(*order)
+    last = (upto.where((F.col("_epochs") < most) & (middle <= rest))
+            .groupBy("source").agg(F.max(place).alias("_last"))
+            .withColumnRenamed("source", "_of"))
+    cuts = written(targets.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of"),
+                   f"{folder}/cuts")
+    once_more = F.when(place <= F.col("_last"), 1).otherwise(0)
+    return with_source(rows, cuts).withColumn(
+        "taken", (F.col("size") * (F.col("_epochs") + once_more)).cast("long")).select(
+        *[F.col(f"_given.`{c}`") for c in keep], *made)
