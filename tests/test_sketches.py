@@ -1,6 +1,7 @@
 """Mergeable sketches of prices, the distribution of a stream, and stored pieces."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,21 +109,17 @@ def test_stored_pieces_are_not_shuffled(spark, random_sessions, tmp_path):
         priced = tt.price_supplied_chunks(sessions, stored, 100_000, 0.10)
         want = tt.price_supplied_chunks(sessions, pieces, 100_000, 0.10)
         assert sorted(map(str, priced.collect())) == sorted(map(str, want.collect()))
-        plan = priced._jdf.queryExecution().executedPlan().toString()
-        plan = plan.split("Initial Plan")[-1].splitlines()
+        plan = tt.price_supplied_chunks(sessions, stored, 100_000, 0.10)
+        plan = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
         scans = [i for i, line in enumerate(plan) if "stored_pieces_test" in line]
-        assert len(scans) == 2
-        for i in scans:
-            depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
-            above = []
-            for line in reversed(plan[:i]):
-                at = len(line) - len(line.lstrip(" :+-"))
-                if at < depth:
-                    depth = at
-                    above.append(line.strip(" :+-"))
-            first = next(k for k, line in enumerate(above) if "Join" in line or "Exchange" in line
-                         or "session_id" in line and "HashAggregate" in line)
-            assert "Exchange" not in above[first]
+        assert len(scans) >= 2
+        for at in scans:
+            # Up from the scan to the join or group that uses the pieces.
+            place = at
+            while not re.search("Join|HashAggregate", plan[place]):
+                assert "Exchange" not in plan[place], plan[place]
+                place = max(i for i in range(place) if depth[i] < depth[place])
         single = tt.supplied_piece_prices(sessions, stored, 100_000, 0.10)
         assert sorted(map(str, single.collect())) == sorted(map(str, tt.supplied_piece_prices(
             sessions, pieces, 100_000, 0.10).collect()))
