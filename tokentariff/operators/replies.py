@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TURN_BLOCK = 65_536
+TURN_BLOCK = 1_024
 AGENT, HUMAN = "assistant", "user"
 
 
