@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentariff.llm.shingles import ALPHANUMERIC, WordHashes, windows, words_of
-from tokentariff.llm.text import packed, prepare_workers, unpacked
+from tokentariff.llm.text import packed, prepare_workers, unpacked, work_folder, written
 
 WINDOW = 13
 SHINGLE = 5
@@ -162,30 +162,35 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     items = benchmark.select("item_id", "text")
     n = item_blocks(items, window, block_windows)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    blocks = []
+    folder = work_folder(spark, "decontamination") if n > 1 else None
+    result = unpacked(columns, ("text",), n_words=F.col("n_words"), spans=F.col("spans"),
+                      items=F.col("items"))
+    text_id = F.md5(F.coalesce("text", F.lit(""))).alias("_text")
+    found = None
     for i in range(n):
-        rows = [(r.item_id, r.text) for r in items.where(part == i).collect()]
-        block = Items(rows, window, shingle)
+        # One block is on the driver and the workers at a time.
+        block = Items([(r.item_id, r.text) for r in items.where(part == i).collect()], window, shingle)
         wanted = spark.sparkContext.broadcast(block.all_shingles())
         block.order(_occurrences(documents, wanted))
-        blocks.append(spark.sparkContext.broadcast(block))
-    result = unpacked(columns, ("text",), n_words=F.col("n_words"), spans=F.col("spans"),
-                      items=F.col("items"))
-    if n == 1:
-        return _block_hits(documents, blocks[0]).select(*result)
-    names = documents.columns
-    parts = [_block_hits(documents.withColumn("_row", F.xxhash64(*names)), b) for b in blocks]
-    both = parts[0]
-    for more in parts[1:]:
-        both = both.unionByName(more)
-    # Equal rows have equal hits: a row and its repetitions share their spans and items.
-    keyed = (both.groupBy("_row", F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
-             .agg(F.flatten(F.collect_set("spans")).alias("spans"),
-                  F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-                  F.first("n_words").alias("n_words")))
-    rows = documents.withColumn("_row", F.xxhash64(*names)).withColumn(
-        "_text", F.md5(F.coalesce("text", F.lit(""))))
-    return rows.join(keyed, ["_row", "_text"]).select(*result)
+        wanted.destroy()
+        shared = spark.sparkContext.broadcast(block)
+        if n == 1:
+            return _block_hits(documents, shared).select(*result)
+        # Hits depend on the text alone, so they are kept by its digest.
+        hits = written(_block_hits(documents.select("text"), shared).where(F.size("items") > 0)
+                       .select(text_id, "spans", "items").dropDuplicates(["_text"]),
+                       f"{folder}/hits-{i}")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    keyed = found.groupBy("_text").agg(
+        F.flatten(F.collect_set("spans")).alias("_spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+    words = F.regexp_count(F.col("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    return (documents.withColumn("_text", text_id).join(keyed, "_text", "left")
+            .withColumns({"n_words": F.coalesce(words, F.lit(0)).cast("long"),
+                          "spans": F.coalesce("_spans", F.array().cast(f"{SPANS}")),
+                          "items": F.coalesce("_items", F.array().cast("array<long>"))})
+            .select(*result))
 
 
 def judged(hits: DataFrame, one_in: int = 20) -> DataFrame:
