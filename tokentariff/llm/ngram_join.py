@@ -14,8 +14,11 @@ shingles that blocks of the corpus hold repeatedly (at most ``hot_size`` of them
 the most frequent at the end, and all others by hash; it decides speed, not results.
 
 Pairs of buckets of up to ``LARGE`` sets are counted, and the places of the shingles they share bound
-what they can share in all; those that may link are verified on whole sets, each set
-with one partner first, and then only pairs that are not connected yet. Large buckets are never
+what they can share in all. Every set has a signature, the parity of its shingles in each of SIGNATURE
+classes; where two signatures differ, one set has a shingle that the other lacks, which bounds what they
+share once more. Pairs that may link are verified on whole sets, each set
+with one partner first, and then only pairs that are not connected yet. Whole sets are made for the sets in such
+pairs and in large buckets, from one document of each. Large buckets are never
 expanded into all their pairs: in each of a few rounds one member leads, and those that aren't
 connected with it and fit by size are compared with it; what remains unconnected in a bucket
 after that is compared pair by pair. No link between different components is lost.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tokentariff.llm.components import components
 from tokentariff.llm.shingles import WordHashes, mixed, shingle_set, words_of
-from tokentariff.llm.text import prepare_workers, work_folder, written
+from tokentariff.llm.text import bucketed, prepare_workers, work_folder, written
 
 SHINGLE, PERCENT = 5, 75
 HOT_SIZE = 131_072
@@ -47,6 +50,8 @@ CANDIDATE_COST = 20.0
 BITMAP_BITS = 1 << 27
 GIVEN = 200_000
 LARGE = 64
+STAR = 512
+SIGNATURE = 1_024
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -63,7 +68,7 @@ def _sets(texts, size: int, hashes: WordHashes) -> Iterator[np.ndarray]:
 
 
 def survey(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, hi, lo) of every document, and (shingle, n) of those repeated in a block."""
+    """(doc_id, n, hi, lo, signature) of every document, and (shingle, n) of those repeated in a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -84,7 +89,7 @@ def survey(documents: DataFrame, size: int) -> DataFrame:
             for doc_id, values in zip(batch["doc_id"], _sets(batch["text"], size, hashes)):
                 digest = xxhash.xxh3_128_digest(values.tobytes())
                 rows.append((doc_id, len(values), int.from_bytes(digest[:8], "big", signed=True),
-                             int.from_bytes(digest[8:], "big", signed=True)))
+                             int.from_bytes(digest[8:], "big", signed=True), signature(values)))
                 if len(values) and digest not in seen:
                     seen.add(digest)
                     held.append(values)
@@ -92,18 +97,27 @@ def survey(documents: DataFrame, size: int) -> DataFrame:
                 if count >= BLOCK:
                     yield repeated()
                     count = 0
-            frame = pd.DataFrame(rows, columns=["doc_id", "n", "hi", "lo"])
+            frame = pd.DataFrame(rows, columns=["doc_id", "n", "hi", "lo", "signature"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
         if held:
             yield repeated()
 
     def padded(batches):
+        numbers = ["doc_id", "n", "hi", "lo", "shingle"]
         for frame in run(batches):
-            yield frame.reindex(columns=["doc_id", "n", "hi", "lo", "shingle"]).astype("Int64")
+            out = frame.reindex(columns=numbers).astype("Int64")
+            out["signature"] = frame["signature"] if "signature" in frame else None
+            yield out
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        padded, "doc_id long, n long, hi long, lo long, shingle long")
+        padded, "doc_id long, n long, hi long, lo long, shingle long, signature array<long>")
+
+
+def signature(values: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each class, as packed longs."""
+    odd = np.bincount((values & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def node_id(turn: int) -> Column:
@@ -158,20 +172,23 @@ def bucket_rows(documents: DataFrame, size: int, percent: int, limit: int, turn:
                 hot) -> DataFrame:
     """(key, id, n, place, hot): every set in its buckets, of single shingles or of subsets.
 
-    ``place`` counts a shingle's place in the order of its set from 1; it is 0 for a subset.
+    ``place`` counts a shingle's place in the order of its set from 1; it is 0 for a subset. A task gives
+    the rows of equal sets once.
     """
     low = least_shared(limit + 1, percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, ranked = WordHashes(), hot.value
+        hashes, ranked, given = WordHashes(), hot.value, set()
         names, ranks = ranked["shingle"], ranked["rank"]
         for batch in batches:
             keys, ids, ns, hots, places = [], [], [], [], []
             for values in _sets(batch["text"], size, hashes):
                 n = len(values)
-                if n < 3:
-                    continue
                 node = _turned(xxhash.xxh3_128_digest(values.tobytes()), turn)
+                if n < 3 or node in given:
+                    continue
+                if len(given) < GIVEN:
+                    given.add(node)
                 last = np.zeros(n, dtype=np.int64)
                 if len(names):
                     at = np.searchsorted(names, values)
@@ -258,29 +275,46 @@ def small_pairs(buckets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def needed_sets(documents: DataFrame, size: int, turn: int, ids: DataFrame) -> DataFrame:
-    """(id, shingles) for the ids in need, from one row of each; shingles as packed longs."""
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their signatures. ``sets`` are (id, n, signature) by id."""
+    def side(name):
+        return sets.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"),
+                           F.col("signature").alias(f"s_{name}"))
+
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda total, bits: total + bits)
+    n, m = F.col("n_a"), F.col("n_b")
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(differ <= n + m - 2 * shared_least(n, m, percent)).select("a", "b"))
+
+
+def needed_sets(documents: DataFrame, size: int, turn: int, ids: DataFrame,
+                nodes: DataFrame) -> DataFrame:
+    """(id, shingles) for the ids in need, from one document of each; shingles as packed longs."""
     wanted = ids.count()
+    chosen = nodes.select(node_id(turn).alias("id"), "doc_id").join(ids, "id").groupBy("id").agg(
+        F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("id"))
     bits = 1 << 15
     while bits < 16 * wanted and bits < BITMAP_BITS:
         bits *= 2
-    marks = documents.sparkSession.sparkContext.broadcast(_bitmap_of(ids, bits))
+    marks = documents.sparkSession.sparkContext.broadcast(_bitmap_of(chosen, bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, bitmap, given = WordHashes(), marks.value, set()
         for batch in batches:
             found = []
-            for values in _sets(batch["text"], size, hashes):
+            places = batch["doc_id"].to_numpy(np.int64) & np.int64(bits - 1)
+            wanted = bitmap[places >> 3] >> (places & 7).astype(np.uint8) & 1
+            for values in _sets(batch["text"][wanted > 0], size, hashes):
                 node = _turned(xxhash.xxh3_128_digest(values.tobytes()), turn)
-                place = node % bits
-                if len(values) > 2 and bitmap[place >> 3] >> (place & 7) & 1 \
-                        and node not in given:
+                if len(values) > 2 and node not in given:
                     if len(given) < GIVEN:
                         given.add(node)  # copies in one task are given out once
                     found.append((node - 2**64 if node >= 2**63 else node, values.tobytes()))
             yield pd.DataFrame(found, columns=["id", "shingles"])
 
-    sets = documents.select("text").mapInPandas(run, "id long, shingles binary")
+    sets = documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+        run, "id long, shingles binary")
     return sets.join(ids, "id", "left_semi").groupBy("id").agg(
         F.any_value("shingles").alias("shingles"))
 
@@ -300,21 +334,38 @@ def _bitmap_of(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link.
+
+    Pairs are stars of a centre ``a`` and its partners: the centre's set goes to its star once, or once for each
+    STAR of them, and partners stream past it. ``sets`` are in buckets of their id, so finding
+    the sets of pairs moves the pairs only.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(
+        F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    partners = dealt.join(sets, F.col("b") == F.col("id")).select(
+        "a", "part", F.lit(1).alias("kind"), "b", "shingles")
+    centres = dealt.select("a", "part").distinct().join(sets, F.col("a") == F.col("id")).select(
+        "a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, held = None, None
         for batch in batches:
-            keep = []
-            for one, other in zip(batch["one"], batch["other"]):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("other"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInPandas(
-        run, "a long, b long")
+            found = []
+            for a, kind, b, packed in zip(batch["a"], batch["kind"], batch["b"], batch["shingles"]):
+                values = np.frombuffer(packed, np.uint64)
+                if kind == 0:
+                    centre, held = a, values
+                elif a == centre:
+                    at = np.searchsorted(held, values)
+                    at[at == len(held)] = 0
+                    both = int((held[at] == values).sum())
+                    if 100 * both >= percent * (len(held) + len(values) - both):
+                        found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return (centres.unionByName(partners).repartition("a", "part")
+            .sortWithinPartitions("a", "part", "kind").mapInPandas(run, "a long, b long"))
 
 
 def fits(n: Column, m: Column, percent: int) -> Column:
@@ -333,7 +384,7 @@ def _led(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFr
     joined = members.join(leaders, "key").where(F.col("id") != F.col("lead.id"))
     pairs = joined.where((F.col("component") != F.col("lead.component"))
                          & fits(F.col("n"), F.col("lead.n"), percent)).select(
-        F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     return pairs, joined.select("key", "id", "n", "central")
 
 
@@ -363,13 +414,15 @@ def linked_sets(documents: DataFrame, size: int, percent: int, folder: str, turn
     limit = boundary(size_histogram(nodes), repeated / max(totals, 1), percent)
     rows = bucket_rows(documents, size, percent, limit, turn, hot)
     buckets = written(shared_buckets(rows), f"{folder}/buckets")
-    pairs = written(small_pairs(buckets, percent), f"{folder}/pairs")
+    signatures = bucketed(nodes.select(node_id(turn).alias("id"), "n", "signature").groupBy("id").agg(
+        F.first("n").alias("n"), F.first("signature").alias("signature")), f"{folder}/signatures", "id")
+    pairs = written(likely(small_pairs(buckets, percent), signatures, percent), f"{folder}/pairs")
     members = buckets.where("large").select("key", "id", "n")
     members = members.join(members.groupBy("id").agg(F.count("*").alias("central")), "id")
     ids = pairs.select(F.col("a").alias("id")).unionByName(
         pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
-    sets = written(needed_sets(documents, size, turn, written(ids, f"{folder}/ids")),
-                   f"{folder}/sets")
+    sets = bucketed(needed_sets(documents, size, turn, written(ids, f"{folder}/ids"), nodes),
+                    f"{folder}/sets", "id")
     links = Links(spark, sets, percent, folder)
     # Candidates of small buckets: every set with its smallest partner, then what stays apart.
     for turn in range(rounds + 1):
@@ -390,9 +443,9 @@ def linked_sets(documents: DataFrame, size: int, percent: int, folder: str, turn
             break
         if turn < leaders:
             led, members = _led(still, turn, percent)
-            links.add(led)
+            links.add(likely(led, signatures, percent))
         else:
-            links.add(_remaining(still, buckets, percent))
+            links.add(likely(_remaining(still, buckets, percent), signatures, percent))
     return links.labels
 
 
